@@ -4,17 +4,29 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import neardup, repeats, token_bin
+from . import decontaminate, line_quality, mixing, neardup, repeats, token_bin
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_quality.clean_lines(_table(spark, sf_dir, "documents"))
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(_table(spark, sf_dir, "documents"))
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.repeated_passages(_table(spark, sf_dir, "documents"))
 
@@ -23,5 +35,16 @@ def op10_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_bin.write_tokens(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_substring_dedup, op7_minhash_near_dedup, op10_token_binary)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_source_mixing,
+        op2_substring_dedup,
+        op3_line_quality,
+        op6_decontamination,
+        op7_minhash_near_dedup,
+        op10_token_binary,
+    )
+}
+#: The other queries have no SQL: their methods sample, iterate, train or run a tokenizer.
+ORACLE_SQL: dict[str, str] = {"op3_line_quality": line_quality.ORACLE}

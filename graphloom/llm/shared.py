@@ -58,3 +58,18 @@ def worker_cache() -> dict:
     if name not in sys.modules:
         sys.modules[name] = types.ModuleType(name)
     return sys.modules[name].__dict__
+
+
+def spare_name(df: DataFrame, name: str) -> str:
+    """``name``, or the first of name_1, name_2, ... that no column of ``df`` has."""
+    have = {c.lower() for c in df.columns}
+    k, out = 0, name
+    while out.lower() in have:
+        k += 1
+        out = f"{name}_{k}"
+    return out
+
+
+def cast_like(column, kind):
+    """Arrow column in the type of the column it takes the place of."""
+    return column.cast(kind) if column.type != kind else column
