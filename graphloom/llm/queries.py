@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, line_quality, mixing, neardup, repeats, token_bin
+from . import classifier, decontaminate, licences, line_quality, mixing, neardup, repeats, secrets, token_bin, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,14 @@ def op3_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality.clean_lines(_table(spark, sf_dir, "documents"))
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(_table(spark, sf_dir, "documents"))
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.licence_matches(_table(spark, sf_dir, "documents"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -31,6 +39,15 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.repeated_passages(_table(spark, sf_dir, "documents"))
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secrets(_table(spark, sf_dir, "documents"))
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that pass, with their scores."""
+    return classifier.classified(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).where("keep")
+
+
 def op10_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_bin.write_tokens(_table(spark, sf_dir, "documents"))
 
@@ -41,8 +58,12 @@ QUERIES = {
         op1_source_mixing,
         op2_substring_dedup,
         op3_line_quality,
+        op4_token_counts,
+        op5_license_scan,
         op6_decontamination,
         op7_minhash_near_dedup,
+        op8_secret_scan,
+        op9_quality_classifier,
         op10_token_binary,
     )
 }
