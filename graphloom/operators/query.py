@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from ..functions import values as V
 from ..functions.values import Value
 from ..plans.plan import PlanNode
-from .shapes import Absent, Grouped, Node, Pair, Record, Scalar, fresh, infer, path_value, sub_shape
+from .shapes import Absent, Grouped, Many, Node, Pair, Record, Scalar, fresh, infer, path_value, sub_shape
 
 ORD = "_ord"
 
@@ -312,6 +312,8 @@ def _read(shape, row):
         return [reading(shape.left, row), reading(shape.right, row)]
     if isinstance(shape, Grouped):
         return {"key": reading(shape.key, row), "values": [_tree(x) for x in row[shape.name]]}
+    if isinstance(shape, Many):
+        return [reading(shape.element, x) for x in row[shape.name]]
     raise TypeError(shape)
 
 
@@ -334,6 +336,8 @@ def flat_columns(shape, prefix: str) -> list[Column]:
         return [*flat_columns(shape.left, prefix + "left"), *flat_columns(shape.right, prefix + "right")]
     if isinstance(shape, Node):
         return [F.col(c).alias(f"{prefix}_{r}" if prefix else r) for r, c in shape.cols.items()] + [F.col(a.name).alias(f"{prefix}_{n}" if prefix else n) for n, a in shape.attrs.items()]
+    if isinstance(shape, Many):
+        return [F.col(shape.name).alias(prefix or "values")]
     if isinstance(shape, Grouped):
         return [*flat_columns(shape.key, prefix + "key"), F.col(shape.name).alias(prefix + "values")]
     return [F.lit(None).cast("string").alias(prefix or "value")]
@@ -348,7 +352,7 @@ def bound(df: DataFrame, made):
         return df, Record(fields)
     if isinstance(made, RowView):
         return df, made.shape
-    if isinstance(made, (Node, Record, Pair, Grouped, Scalar, Absent)):
+    if isinstance(made, (Node, Record, Pair, Grouped, Scalar, Absent, Many)):
         return df, made
     if isinstance(made, Value):
         if made.tag == "missing":

@@ -125,6 +125,20 @@ class Grouped:
         return replace(self, key=self.key.renamed(m), name=m.get(self.name, self.name))
 
 
+@dataclass(frozen=True)
+class Many:
+    """An array of values of one shape, each packed in a struct."""
+
+    name: str
+    element: object
+
+    def columns(self):
+        return [self.name]
+
+    def renamed(self, m):
+        return replace(self, name=m.get(self.name, self.name))
+
+
 def infer(df: DataFrame, name: str) -> Scalar:
     """Type of a computed column in the terms of the model."""
     kind = df.schema[name].dataType

@@ -43,7 +43,7 @@ class Lowering:
             else:
                 names = graph.child_names() if c.op == ">" else [c.edge]
                 out += _many(graph.step(q, names, "reverse" if c.op == "<-" else "forward"))
-        return out
+        return [x for x in out if _can_be(x, target.kind)]
 
     def _relational(self, q, graph, c, target):
         kind = graph.kind_of(q)
@@ -59,7 +59,7 @@ class Lowering:
         for q in queries:
             graph = q.shape.graph
             if not isinstance(graph, RelationalGraph):
-                out += _many(graph.descend(q, include_self))
+                out += [x for x in _many(graph.descend(q, include_self)) if _can_be(x, target.kind)]
                 continue
             kind = graph.kind_of(q)
             if include_self and (target.kind is None or kind == target.kind):
@@ -174,6 +174,12 @@ class Lowering:
         return F.lit(True) if cond is None else cond
 
 
+def _can_be(q: Query, kind: str | None) -> bool:
+    """Whether rows of a query can be of a kind; a mount's rows are either containers or document nodes."""
+    graph = q.shape.graph
+    return kind is None or kind in getattr(graph, "base", graph).schema.kinds
+
+
 def _many(x) -> list[Query]:
     return x if isinstance(x, list) else [x]
 
@@ -193,8 +199,9 @@ def one(queries: list[Query], empty: Query) -> Query:
     attrs = {n: Scalar(fresh(n), *(next(iter(kinds)) if len(kinds) == 1 else (None, False))) for n, kinds in names.items()}
     keys = {n: fresh(n) for n in dict.fromkeys(k for q in queries for k in q.shape.keys)} if len({id(q.shape.graph) for q in queries}) == 1 and not isinstance(queries[0].shape.graph, RelationalGraph) else {}
     dfs = []
+    alike = len({q.df.schema[ORD].dataType.simpleString() for q in queries}) == 1
     for q in queries:
-        made = [F.to_json(F.struct(F.col(ORD))).alias(ORD)]
+        made = [F.col(ORD) if alike else F.to_json(F.struct(F.col(ORD))).alias(ORD)]
         for r, c in cols.items():
             have = q.shape.cols.get(r)
             made.append((F.col(have) if have else F.lit(None).cast("long" if r in ("start", "end") else "string")).alias(c))
@@ -215,7 +222,7 @@ def one(queries: list[Query], empty: Query) -> Query:
     for other in dfs[1:]:
         df = df.unionByName(other)
     shape = Node(cols, attrs, queries[0].shape.graph, keys)
-    return Query(df, shape, PlanNode("source", "unknown"))
+    return Query(df, shape, PlanNode("source", queries[0].ordering if alike else "unknown"))
 
 
 def select(source: Query, text: str, mode: str = "selection", view: str | None = None, schema: AdapterSchema | None = None, predicates: dict | None = None, captures: bool = True) -> Query:
