@@ -97,8 +97,8 @@ def environment(spark, diagnostics=None):
         },
     )
 
-    def operation(name, adapter, **args):
-        def create(node, **given):
+    def operation(name, adapter, /, **args):
+        def create(node, /, **given):
             return Op(name, node, {k: (json.loads(v) if k == "value" and isinstance(v, str) and v[:1] in "[{" else v) for k, v in given.items()})
 
         env.operations[name] = OperationSpec(create, adapter, args)

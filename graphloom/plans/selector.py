@@ -198,6 +198,7 @@ def one(queries: list[Query], empty: Query) -> Query:
     cols = {r: fresh(r) for r in roles}
     attrs = {n: Scalar(fresh(n), *(next(iter(kinds)) if len(kinds) == 1 else (None, False))) for n, kinds in names.items()}
     keys = {n: fresh(n) for n in dict.fromkeys(k for q in queries for k in q.shape.keys)} if len({id(q.shape.graph) for q in queries}) == 1 and not isinstance(queries[0].shape.graph, RelationalGraph) else {}
+    captured = list(dict.fromkeys(c for s in queries[0].captures.values() for c in s.columns()))
     dfs = []
     alike = len({q.df.schema[ORD].dataType.simpleString() for q in queries}) == 1
     for q in queries:
@@ -217,12 +218,12 @@ def one(queries: list[Query], empty: Query) -> Query:
                 made.append(v.col.cast(V.SQL_TYPE[s.tag]).alias(s.name) if s.tag is not None and not s.many else v.col.alias(s.name))
         for k, c in keys.items():
             made.append((F.col(q.shape.keys[k]) if k in q.shape.keys else F.lit(None)).alias(c))
-        dfs.append(q.df.select(*made))
+        dfs.append(q.df.select(*made, *captured))
     df = dfs[0]
     for other in dfs[1:]:
         df = df.unionByName(other)
     shape = Node(cols, attrs, queries[0].shape.graph, keys)
-    return Query(df, shape, PlanNode("source", queries[0].ordering if alike else "unknown"))
+    return Query(df, shape, PlanNode("source", queries[0].ordering if alike else "unknown"), queries[0].captures)
 
 
 def select(source: Query, text: str, mode: str = "selection", view: str | None = None, schema: AdapterSchema | None = None, predicates: dict | None = None, captures: bool = True) -> Query:

@@ -71,8 +71,13 @@ def unrolled(graph: Graph, q: Query, names, direction: str, max_depth: int, incl
 
     The order key is the path of edge positions: arrays sort like a pre-order walk.
     """
-    path, shape = fresh("path"), q.shape
-    start = Query(q.df.withColumn(path, F.array().cast("array<string>")), shape, q.plan, q.captures)
+    path = fresh("path")
+    # captures keep their columns, the walk has its own
+    own = {c: fresh(c) for c in q.shape.columns()}
+    shape = q.shape.renamed(own)
+    captured = {c for s in q.captures.values() for c in s.columns()}
+    df = q.df.select(*[F.col(c) for c in q.df.columns if c not in own or c in captured], *[F.col(c).alias(n) for c, n in own.items()])
+    start = Query(df.withColumn(path, F.array().cast("array<string>")), shape, q.plan, q.captures)
     levels, now = ([start] if include_self else []), start
     bound = graph.height(names, direction)
     depth = max_depth if bound is None else min(max_depth, bound)
@@ -413,6 +418,21 @@ class RelationalGraph(Graph):
                 todo.append((link.target, longer))
         return out
 
+    def traverse(self, q, edges, roles, direction, max_depth, include_self):
+        """All paths of up to ``max_depth`` links; kinds without further links end a path when the plan is made."""
+        from ..plans.selector import one
+
+        names, level = set(self.names_of(edges, roles)), [q]
+        out = [q] if include_self else []
+        for depth in range(max_depth):
+            if depth > MAX_UNROLL:
+                raise LoomError("query.unbounded-traversal", f"a walk of more than {MAX_UNROLL} steps")
+            level = [self.hop(x, link, forward) for x in level for link, forward in self.hops(self.kind_of(x), names, direction)]
+            if not level:
+                break
+            out += level
+        return one(out, q)
+
     def siblings_of(self, q: Query, link: Link, following: bool) -> Query:
         """Next or following children of the same parent, by the ordinal of their kind."""
         kind = link.target
