@@ -1,0 +1,66 @@
+import numpy as np
+import pyarrow as pa
+import pytest
+from fixtures import awkward, documents
+
+from graphloom.llm import kernels as K
+from graphloom.llm import secrets as S
+
+
+@pytest.fixture(scope="module")
+def formats():
+    return S.trained()
+
+
+def scores(formats, texts):
+    data, offs = K.buffer(pa.array(texts))
+    return formats.scores(data, offs[:-1], offs[1:])
+
+
+def test_held_out_credentials(formats):
+    test = S.labelled_credentials(120, seed=77)
+    kind, bits = scores(formats, [t for _, t in test])
+    plain = np.array([k == "plain" for k, _ in test])
+    found = bits >= S.THRESHOLD
+    assert found[~plain].mean() > 0.97 and found[plain].mean() < 0.005
+    right = np.array([formats.names[i] == k for i, (k, _) in zip(kind, test)])
+    assert right[~plain].mean() > 0.9
+
+
+def test_scores_against_one_at_a_time(formats):
+    a = formats.automata[formats.names.index("github-token")]
+
+    def slow(text):
+        state, bits = 0, 0.0
+        for c in text:
+            j = S.CHARS.index(c)
+            bits += float(a.bits[state, j])
+            state = int(a.next[state, j])
+        return bits + float(a.length_bits(np.array([len(text)]))[0])
+
+    texts = sorted([t for _, t in S.labelled_credentials(5, seed=3)], key=len, reverse=True)
+    data, offs = K.buffer(pa.array(texts))
+    got = a.score(S._SYMBOL[data], offs[:-1], np.diff(offs))
+    assert np.allclose(got, [slow(t) for t in texts], atol=1e-2)
+
+
+def test_merging_finds_loops_and_keeps_prefixes():
+    a = S.Automaton([f"ab{'cd' * n}" for n in range(1, 40) for _ in range(20)])
+    assert len(a.next) < 12
+    strict = S.Automaton(["ab" + x for x in ("cc", "dd") for _ in range(200)])
+    assert strict.bits[0, S.CHARS.index("a")] > -0.1 and strict.bits[0, S.CHARS.index("b")] == -S.LOST
+
+
+def test_documents(spark, formats):
+    key = "ghp_QlhdjP0Y0nvT4DiZ9qMyy4QPuqfwg8rXu44w"
+    rows = awkward() + [(20, f"é token = \"{key}\" end"), (20, f"é token = \"{key}\" end"), (21, "x " * 50 + "thereationandtheother 4785380592391139 2024-11-05/report-final-version"), (22, "0f" * 20), (None, key)]
+    got = S.secrets(documents(spark, rows, "clash"), formats).collect()
+    assert sorted((r.doc_id, r.kind, r.start_byte, r.n_bytes) for r in got) == [(20, "github-token", 12, 40), (22, "hex-secret", 0, 40)]
+    assert S.secrets(documents(spark, []), formats).collect() == []
+    with pytest.raises(ValueError):
+        S.Formats([("plain", "x" * 20)])
+
+
+def test_long_candidates_are_scored_whole(formats):
+    _, bits = scores(formats, ["0123456789abcdef" * 4000])
+    assert np.isfinite(bits).all()
