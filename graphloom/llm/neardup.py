@@ -14,7 +14,7 @@ from .components import connected
 from .shared import worker_cache, written
 
 SHINGLE = 3
-BANDS, ROWS = 18, 4
+BANDS, ROWS = 24, 4
 THRESHOLD = 0.6
 #: Shingles in a larger share of the documents than this get a lower weight.
 RARE_SHARE = 1e-3

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from fixtures import awkward, documents, words
 
 from graphloom.llm import components as G
@@ -86,8 +87,21 @@ def test_awkward(spark):
     assert N.without_near_duplicates(documents(spark, awkward())).where("doc_id is null").count() == 1
 
 
-def test_components(spark):
+@pytest.mark.parametrize("one_task", [10**6, 0])
+def test_components(spark, one_task):
     edges = [(i, i + 1) for i in range(20)] + [(40, 41), (41, 42), (50, 50), (None, 3), (41, 40)]
-    got = {r.node: r.component for r in G.connected(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r.node: r.component for r in G.connected(spark.createDataFrame(edges, "a long, b long"), one_task).collect()}
     assert got == {**{i: 0 for i in range(21)}, 40: 40, 41: 40, 42: 40}
-    assert G.connected(spark.createDataFrame([], "a long, b long")).collect() == []
+    assert G.connected(spark.createDataFrame([], "a long, b long"), one_task).collect() == []
+
+
+def test_components_of_random_graphs():
+    g = np.random.default_rng(4)
+    for n in (1, 5, 60, 400):
+        a, b = g.integers(0, n, n), g.integers(0, n, n)
+        label = list(range(n))
+        for _ in range(n):
+            for x, y in zip(a, b):
+                label[x] = label[y] = min(label[x], label[y])
+        nodes, root = G.joined(a, b)
+        assert root.tolist() == [label[x] for x in nodes]
