@@ -16,10 +16,12 @@ from .shared import worker_cache, written
 SHINGLE = 3
 BANDS, ROWS = 24, 4
 THRESHOLD = 0.6
-#: Shingles in a larger share of the documents than this get a lower weight.
-RARE_SHARE = 1e-3
-#: Hashes sent to every executor at once (8 bytes each); beyond it they are joined by a shuffle.
-MAX_SENT = 2_000_000
+#: No share of the documents is a floor: every shingle has the weight of its own document count.
+RARE_SHARE = 0.0
+#: Bytes of text whose shingles are counted and signed together.
+PIECE = 4 << 20
+#: Bytes of text for which one task counts documents; shingles are dealt to such tasks by their identifiers.
+BUCKET = 16 << 20
 #: Documents that one task compares; larger candidate groups are split by their buckets.
 MAX_TOGETHER = 50_000
 _ID = np.uint64(12)  # shingle identifiers keep the upper 52 bits
@@ -144,75 +146,70 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
 
 
-def frequent_shingles(texts: DataFrame, share: float = RARE_SHARE, max_sent: int = MAX_SENT) -> Idf:
-    """Document counts over the whole corpus of all shingles in at least ``share`` of it.
+def _planes(a: np.ndarray) -> bytes:
+    """Whole numbers as byte planes, the lowest bytes first; as many as the greatest number needs."""
+    a = np.ascontiguousarray(a, np.uint64)
+    width = max(1, -(-int(a.max()).bit_length() // 8)) if len(a) else 1
+    return a.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
 
-    A shingle that frequent is at least that frequent in some input partition, so
-    each partition nominates its own and a second pass counts the nominees
-    exactly.  At most (mean distinct shingles) / share can pass, whatever the
-    corpus size.  If too many are nominated to be sent to every executor, all
-    shingles are counted by a shuffle instead: same result.
+
+def _numbers(raw: bytes, n: int) -> np.ndarray:
+    out = np.zeros((n, 8), np.uint8)
+    if n:
+        out[:, : len(raw) // n] = np.frombuffer(raw, np.uint8).reshape(-1, n).T
+    return out.view(np.uint64).reshape(-1)
+
+
+def _piece_shingles(texts: pa.Array):
+    """Distinct shingle identifiers of all texts, ascending; documents of each; (lo, hi, row, id, tf) by block."""
+    blocks = list(doc_shingles(texts))
+    ids = np.concatenate([x for _, _, _, x, _ in blocks]) if blocks else np.zeros(0, np.uint64)
+    return *np.unique(ids, return_counts=True), blocks
+
+
+def counted(texts: DataFrame) -> tuple[int, DataFrame, DataFrame]:
+    """(documents, pieces, counts): exact document counts of all shingles of ``texts`` (doc_id, text).
+
+    pieces are the rows of ``texts`` with a digest and a ``piece``.  counts has, by
+    piece and bucket, the document counts over the whole corpus of the piece's
+    distinct shingles of that bucket, in the order of their identifiers.  A
+    bucket is a range of identifiers; all that pieces hold of it meets in one task.
     """
-    spark = texts.sparkSession
+    total = texts.agg(F.count("*").alias("docs"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    size = total.bytes or 0
+    buckets = min(-(-size // BUCKET) or 1, 1 << 20)
+    parts = texts.withColumn("digest", F.xxhash64("text")).withColumn("piece", F.pmod(F.xxhash64("doc_id"), F.lit(-(-size // PIECE) or 1)))
+
+    def spread(table):
+        ids, docs, _ = _piece_shingles(table.column("text"))
+        home = (ids >> np.uint64(20)) * np.uint64(buckets) >> np.uint64(32)
+        at = np.r_[K.groups(home), len(ids)].astype(np.int64)
+        cuts = list(zip(at[:-1].tolist(), at[1:].tolist()))
+        return pa.table(
+            {
+                "bucket": K.long_column(home[at[:-1]]),
+                "piece": pa.array([table.column("piece")[0].as_py()] * len(cuts), pa.int64()),
+                "n": pa.array(np.diff(at), pa.int64()),
+                "first": K.long_column(ids[at[:-1]]),
+                "gaps": pa.array([_planes(np.diff(ids[i:j])) for i, j in cuts], pa.binary()),
+                "docs": pa.array([_planes(docs[i:j]) for i, j in cuts], pa.binary()),
+            }
+        )
+
+    def count(table):
+        size = table.column("n").to_pylist()
+        first = table.column("first").to_numpy().view(np.uint64)
+        ids = np.concatenate([np.cumsum(np.r_[f, _numbers(g.as_py(), n - 1)], dtype=np.uint64) for f, g, n in zip(first, table.column("gaps"), size)])
+        docs = np.concatenate([_numbers(d.as_py(), n) for d, n in zip(table.column("docs"), size)])
+        o = np.argsort(ids)
+        at = K.groups(ids[o])
+        df = np.empty(len(ids), np.uint64)
+        df[o] = np.repeat(np.add.reduceat(docs[o], at), np.diff(np.r_[at, len(o)]))
+        ends = np.cumsum(size)
+        return pa.table({"piece": table.column("piece"), "bucket": table.column("bucket"), "n": table.column("n"), "df": pa.array([_planes(df[e - n : e]) for e, n in zip(ends, size)], pa.binary())})
 
-    def nominate(batches):
-        seen, docs = [], 0
-        for batch in batches:
-            docs += batch.num_rows
-            for _, _, _, ids, _ in doc_shingles(batch.column(0)):
-                u, c = np.unique(ids, return_counts=True)
-                seen.append((u, c))
-            if len(seen) > 64:
-                seen = [_merge(seen)]
-        if docs:
-            u, c = _merge(seen) if seen else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            keep = c >= share * docs
-            yield pa.RecordBatch.from_arrays([K.long_column(u[keep]), pa.nulls(int(keep.sum()), pa.int64())], ["id", "docs"])
-            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int64()), pa.array([docs], pa.int64())], ["id", "docs"])
-
-    named = written(texts.select("text").mapInArrow(nominate, "id long, docs long").groupBy("id").agg(F.sum("docs").alias("docs")), "nominees")
-    total = named.where("id = -1").first()
-    n_docs = total.docs if total else 0
-    floor = share * n_docs
-    few = named.where("id <> -1").select("id")
-    if few.count() <= max_sent:
-        sent = spark.sparkContext.broadcast(np.sort(few.toPandas()["id"].to_numpy(np.int64).view(np.uint64)))
-
-        def count(batches):
-            ids = sent.value
-            got = np.zeros(len(ids), np.int64)
-            hint = np.zeros(1 << 22, bool)
-            low = np.uint64((1 << 22) - 1)
-            hint[(ids & low).astype(np.int64)] = True
-            for batch in batches:
-                for _, _, _, x, _ in doc_shingles(batch.column(0)):
-                    x = x[hint[(x & low).astype(np.int64)]]
-                    if len(x) and len(ids):
-                        at = np.minimum(np.searchsorted(ids, x), len(ids) - 1)
-                        got += np.bincount(at[ids[at] == x], minlength=len(ids))
-            on = got > 0
-            yield pa.RecordBatch.from_arrays([K.long_column(ids[on]), K.long_column(got[on])], ["id", "df"])
-
-        counts = texts.select("text").mapInArrow(count, "id long, df long").groupBy("id").agg(F.sum("df").alias("df"))
-    else:
-
-        def spread(batches):
-            for batch in batches:
-                for _, _, _, x, _ in doc_shingles(batch.column(0)):
-                    yield pa.RecordBatch.from_arrays([K.long_column(x)], ["id"])
-
-        counts = texts.select("text").mapInArrow(spread, "id long").groupBy("id").agg(F.count("*").alias("df"))
-    got = counts.where(F.col("df") >= F.lit(float(floor))).toPandas()
-    return Idf(n_docs, floor, got["id"].to_numpy(np.int64).view(np.uint64), got["df"].to_numpy(np.float64))
-
-
-def _merge(parts):
-    u = np.concatenate([p[0] for p in parts])
-    c = np.concatenate([p[1] for p in parts])
-    o = np.argsort(u, kind="stable")
-    u, c = u[o], c[o]
-    at = K.groups(u)
-    return u[at], np.add.reduceat(c, at) if len(at) else c
+    sent = parts.groupBy("piece").applyInArrow(spread, "bucket long, piece long, n long, first long, gaps binary, docs binary")
+    return total.docs, parts, sent.groupBy("bucket").applyInArrow(count, "piece long, bucket long, n long, df binary")
 
 
 def _verify(members, buckets, threshold):
@@ -252,11 +249,45 @@ def _verify(members, buckets, threshold):
     return [(d, find(d)) for d in sorted(members) if find(d) != d]
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, share: float = RARE_SHARE, max_sent: int = MAX_SENT, max_together: int = MAX_TOGETHER) -> DataFrame:
+def signed(texts: DataFrame, bands: int = BANDS, rows: int = ROWS) -> tuple[int, DataFrame]:
+    """Number of documents, and (doc_id, digest, bands, df) of each text with a shingle.
+
+    df has the document counts of its shingles in the order of their identifiers.
+    """
+    n_docs, parts, counts = counted(texts)
+
+    def sign(table, counts):
+        doc, digest = table.column("doc_id").to_numpy(), table.column("digest").to_numpy()
+        u, _, blocks = _piece_shingles(table.column("text"))
+        counts = counts.sort_by("bucket")
+        df = np.concatenate([np.zeros(0, np.uint64), *(_numbers(d.as_py(), n) for d, n in zip(counts.column("df"), counts.column("n").to_pylist()))])
+        if len(df) != len(u):
+            raise RuntimeError("a piece of the corpus changed between two reads")
+        some = df > 1
+        idf = Idf(n_docs, 1.0, u[some], df[some].astype(float))
+        out = []
+        for lo, hi, row, x, tf in blocks:
+            if not len(row):
+                continue
+            sig = signatures(row, x, tf, hi - lo, idf, bands, rows)
+            own = df[np.searchsorted(u, x)]
+            cut = np.searchsorted(row, np.arange(hi - lo + 1))
+            out += [(lo + i, sig[i], _planes(own[cut[i] : cut[i + 1]])) for i in np.flatnonzero(np.diff(cut))]
+        # equal rows of one doc_id are signed once
+        out = list({(doc[i], digest[i]): (i, s, d) for i, s, d in out}.values())
+        at = np.array([i for i, _, _ in out], np.int64)
+        keys = K.long_column(np.concatenate([np.zeros(0, np.uint64), *(s for _, s, _ in out)]))
+        return pa.table({"doc_id": K.long_column(doc[at]), "digest": K.long_column(digest[at]), "bands": pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1) * bands, pa.int32()), keys), "df": pa.array([d for _, _, d in out], pa.binary())})
+
+    return n_docs, written(parts.groupBy("piece").cogroup(counts.groupBy("piece")).applyInArrow(sign, "doc_id long, digest long, bands array<long>, df binary"), "signed")
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, max_together: int = MAX_TOGETHER) -> DataFrame:
     """(doc_id, group_id, keep): near-duplicate groups of ``docs`` (doc_id, text, ...).
 
     Two documents are near duplicates if the weighted Jaccard similarity of their
-    TF-IDF word shingles reaches ``threshold``; groups are connected components
+    TF-IDF word shingles reaches ``threshold``, with IDF = log(1 + documents /
+    documents that hold the shingle), counted exactly for every shingle; groups are connected components
     over pairs that share a band of samples and pass that test.  group_id is the
     smallest doc_id of the group, and only that document has keep = true.
 
@@ -267,20 +298,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     result; other columns are ignored.
     """
     texts = _texts(docs)
-    idf = frequent_shingles(texts, share, max_sent)
-    sent = texts.sparkSession.sparkContext.broadcast(idf)
-
-    def sign(batches):
-        for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for lo, hi, row, x, tf in doc_shingles(batch.column(1)):
-                sig = signatures(row, x, tf, hi - lo, sent.value, bands, rows)
-                some = np.zeros(hi - lo, bool)
-                some[row] = True
-                n = int(some.sum())
-                yield pa.RecordBatch.from_arrays([K.long_column(np.repeat(ids[lo:hi][some], bands)), K.long_column(sig[some].reshape(n * bands))], ["doc_id", "bucket"])
-
-    keys = written(texts.mapInArrow(sign, "doc_id long, bucket long"), "bands")
+    n_docs, signs = signed(texts, bands, rows)
+    keys = signs.select("doc_id", F.explode("bands").alias("bucket"))
     many = keys.groupBy("bucket").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first <> last").select("bucket", "first")
     shared = written(keys.join(many, "bucket").select("doc_id", "bucket", "first"), "shared")
     candidates = connected(shared.select(F.col("doc_id").alias("a"), F.col("first").alias("b")))
@@ -291,7 +310,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     # a group too large for one task goes bucket by bucket
     homes = whole.select("doc_id", F.explode(F.when(F.col("docs") <= max_together, F.array(F.struct(F.col("component").alias("home"), F.col("buckets").alias("buckets")))).otherwise(F.transform("buckets", lambda b: F.struct(b.alias("home"), F.array(b).alias("buckets"))))).alias("h"))
     homes = written(homes.select("doc_id", "h.home", "h.buckets"), "homes")
-    fetched = texts.join(homes, "doc_id").select("home", "doc_id", "buckets", "text").repartition("home")
+    placed = signs.select("doc_id", "digest", "df").join(homes, "doc_id")
+    fetched = texts.withColumn("digest", F.xxhash64("text")).join(placed, ["doc_id", "digest"]).select("home", "doc_id", "buckets", "text", "df").repartition("home")
 
     def verify(batches):
         groups: dict = {}
@@ -299,8 +319,9 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
             home, ids = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             keys = batch.column(2).to_pylist()
             for lo, hi, row, x, tf in doc_shingles(batch.column(3)):
-                w, _ = sent.value.weights(x, tf)
                 cut = np.searchsorted(row, np.arange(hi - lo + 1))
+                df = np.concatenate([_numbers(batch.column(4)[lo + i].as_py(), int(cut[i + 1] - cut[i])) for i in range(hi - lo)])
+                w = tf * np.log1p(n_docs / df)
                 for i in range(hi - lo):
                     members, where = groups.setdefault(home[lo + i], ({}, {}))
                     own = (x[cut[i] : cut[i + 1]].copy(), w[cut[i] : cut[i + 1]].copy())

@@ -105,3 +105,44 @@ def test_components_of_random_graphs():
                 label[x] = label[y] = min(label[x], label[y])
         nodes, root = G.joined(a, b)
         assert root.tolist() == [label[x] for x in nodes]
+
+
+def shared_passage(n_docs, holders, passage, own):
+    """Rows in which ``holders`` documents share ``passage`` shingles, have ``own`` further ones each, and the rest are fillers."""
+    g = random.Random(14)
+    text = words(g, passage + 2)
+    rows = [(k, text + " " + words(g, own)) for k in range(holders)]
+    return rows + [(k, f"filler{k}") for k in range(holders, n_docs)]
+
+
+def test_weights_have_no_floor(spark):
+    rows = shared_passage(20_000, 20, 102, 30)
+    sets = weighted(rows[:20])
+    df = {}
+    for _, (ids, tf) in sets.items():
+        for i in ids.tolist():
+            df[i] = df.get(i, 0) + 1
+    exact = [(ids, np.log1p(len(rows) / np.array([df[i] for i in ids.tolist()]))) for ids, _ in sets.values()]
+    alike = N.weighted_jaccard(exact[0], exact[1])
+    assert alike < 0.57 < N.THRESHOLD < 102 / 162
+    got = N.near_duplicates(documents(spark, rows)).where("doc_id < 20").collect()
+    assert len(got) == 20 and all(r.keep for r in got)
+    assert not all(r.keep for r in N.near_duplicates(documents(spark, rows), threshold=alike - 0.02).where("doc_id < 20").collect())
+
+
+@pytest.mark.parametrize("size", [N.PIECE, 2000])
+def test_counts_against_brute_force(spark, monkeypatch, size):
+    monkeypatch.setattr(N, "PIECE", size)
+    monkeypatch.setattr(N, "BUCKET", size)
+    rows, _ = family(random.Random(15), 12, [1, 3, 7])
+    want = {}
+    for _, t in rows:
+        for _, _, _, ids, _ in N.doc_shingles(pa.array([t])):
+            for i in ids.tolist():
+                want[i] = want.get(i, 0) + 1
+    n, got = N.signed(N._texts(documents(spark, rows + [(None, "left out"), (900, None)])))
+    assert n == len(rows) + 1
+    got = {r.doc_id: bytes(r.df) for r in got.collect()}
+    for d, t in rows:
+        ids = next(N.doc_shingles(pa.array([t])))[3]
+        assert N._numbers(got[d], len(ids)).tolist() == [want[i] for i in ids.tolist()]
