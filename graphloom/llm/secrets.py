@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import bisect
 import json
 import math
 import random
@@ -19,6 +20,8 @@ CHARS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_+/-"
 MIN_LENGTH = 16
 #: Bits by which a credential format must beat plain text.
 THRESHOLD = 14.0
+#: Bytes of the longest string judged inside a run; whole runs have no limit. Bounds the cost of runs of megabytes with marks throughout.
+INSIDE = 4096
 #: Confidence of the compatibility test of two states.
 ALPHA = 0.02
 PER_KIND = 300
@@ -201,6 +204,23 @@ class Automaton:
         return out + self.length_bits(size)
 
 
+    def prefix_bits(self, data: np.ndarray, start: np.ndarray, reach: np.ndarray, who: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Bits of data[start[who]:start[who]+size], one pass for all prefixes of a start; reaches descend, sizes ascend."""
+        out, got = np.zeros(len(start)), np.zeros(len(who))
+        state = np.zeros(len(start), np.int32)
+        live, done = len(start), 0
+        for i in range(int(reach[0]) if len(reach) else 0):
+            while reach[live - 1] <= i:
+                live -= 1
+            c = data[start[:live] + i]
+            out[:live] += self.bits[state[:live], c]
+            state[:live] = self.next[state[:live], c]
+            upto = done + int(np.searchsorted(size[done:], i + 1, "right"))
+            got[done:upto] = out[who[done:upto]]
+            done = upto
+        return got + self.length_bits(size)
+
+
 def _run_bits(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Bits of strings that are runs of one class of characters, uniform within the class."""
     kind = _CLASS[np.maximum(data, 0)]
@@ -240,6 +260,41 @@ class Formats:
         bits[o] = each.max(0) - plain
         return kind, bits
 
+    def inner_scores(self, data: np.ndarray, start: np.ndarray, end: np.ndarray):
+        """The same as scores, for candidates many of which have one start."""
+        if not len(start):
+            return np.zeros(0, np.int64), np.zeros(0)
+        symbols = _SYMBOL[data]
+        begin, who = np.unique(start, return_inverse=True)
+        reach = np.zeros(len(begin), np.int64)
+        np.maximum.at(reach, who, end - start)
+        down = np.argsort(-reach, kind="stable")
+        place = np.empty(len(down), np.int64)
+        place[down] = np.arange(len(down))
+        o = np.argsort(end - start, kind="stable")
+        s, n = start[o], (end - start)[o]
+        args = symbols, begin[down], reach[down], place[who[o]], n
+        best, lead = np.zeros(len(o), np.int64), np.full(len(o), -np.inf)
+        for k, a in enumerate(self.automata):
+            x = a.prefix_bits(*args)
+            best[x > lead] = k
+            lead = np.maximum(lead, x)
+        plain = np.maximum(self.plain.prefix_bits(*args), _run_bits(symbols, s, n) + self.plain.length_bits(n))
+        kind, bits = np.empty(len(o), np.int64), np.empty(len(o))
+        kind[o], bits[o] = best, lead - plain
+        return kind, bits
+
+    def found(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, threshold: float):
+        """(run, start, end, kind index, bits) of the best strings of the runs data[start:end], whole or inside, that reach ``threshold``."""
+        run, s, e = np.arange(len(start)), start, end
+        kind, bits = self.scores(data, start, end)
+        r, a, b = inside(data, start, end)
+        k, x = self.inner_scores(data, a, b)
+        run, s, e, kind, bits = np.r_[run, r], np.r_[s, a], np.r_[e, b], np.r_[kind, k], np.r_[bits, x]
+        on = np.flatnonzero(bits >= threshold)
+        on = on[best_inside(run[on], s[on], e[on], bits[on])]
+        return run[on], s[on], e[on], kind[on], bits[on]
+
 
 def candidates(data: np.ndarray, offs: np.ndarray, min_length: int = MIN_LENGTH):
     """(row, start, end) of all maximal runs of credential characters of at least ``min_length`` bytes."""
@@ -253,6 +308,57 @@ def candidates(data: np.ndarray, offs: np.ndarray, min_length: int = MIN_LENGTH)
     return np.searchsorted(offs, s, "right") - 1, s, e
 
 
+def inside(data: np.ndarray, start: np.ndarray, end: np.ndarray, min_length: int = MIN_LENGTH, longest: int = INSIDE):
+    """(run, start, end) of the strings inside runs that begin or end at a mark.
+
+    A string begins with its run or after a mark, and ends with its run or before a
+    mark; of several marks in a row the one next to a letter or digit may belong
+    to it.  Whole runs are not among them.
+    """
+    z = np.zeros(0, np.int64)
+    if not len(start):
+        return z, z, z
+    mark = np.zeros(len(data) + 4, bool)  # data[i] is at i + 2
+    mark[2:-2] = _CLASS[np.maximum(_SYMBOL[data], 0)] == 3
+    mark[2:-2] &= _SYMBOL[data] >= 0
+    n = np.arange(len(data) + 1)
+    here, back, back2, on = mark[n + 2], mark[n + 1], mark[n], mark[np.minimum(n + 3, len(mark) - 1)]
+    opens = np.flatnonzero(back & (~here | (here & ~on)))
+    closes = np.flatnonzero(here & (~back | (back & ~back2)))
+
+    def within(at, edge):
+        run = np.searchsorted(start, at, "right") - 1
+        ok = (run >= 0) & (at > start[run]) & (at < end[run])
+        both = np.r_[at[ok], edge]
+        o = np.argsort(both, kind="stable")
+        return both[o], np.r_[run[ok], np.arange(len(edge))][o]
+
+    a, run = within(opens, start)
+    b, _ = within(closes, end)
+    lo = np.searchsorted(b, a + min_length)
+    hi = np.maximum(lo, np.searchsorted(b, np.minimum(end[run], a + longest), "right"))
+    size = hi - lo
+    k = np.repeat(np.arange(len(a)), size)
+    j = np.arange(len(k)) - np.repeat(np.cumsum(size) - size, size) + lo[k]
+    part = (a[k] != start[run[k]]) | (b[j] != end[run[k]])
+    k, j = k[part], j[part]
+    return run[k], a[k], b[j]
+
+
+def best_inside(group: np.ndarray, start: np.ndarray, end: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Indexes of strings that overlap no better one of their run; the longer of equals."""
+    taken: dict[int, list[tuple[int, int]]] = {}
+    keep = []
+    for i in np.lexsort((start, start - end, -bits)).tolist():
+        own = taken.setdefault(int(group[i]), [])
+        span = (int(start[i]), int(end[i]))
+        at = bisect.bisect(own, span)
+        if (at == 0 or own[at - 1][1] <= span[0]) and (at == len(own) or own[at][0] >= span[1]):
+            own.insert(at, span)
+            keep.append(i)
+    return np.array(sorted(keep), np.int64)
+
+
 def trained(labelled: list[tuple[str, str]] | None = None, alpha: float = ALPHA) -> Formats:
     return Formats(labelled_credentials() if labelled is None else labelled, alpha)
 
@@ -261,7 +367,8 @@ def secrets(docs: DataFrame, formats: Formats | None = None, threshold: float =
     """(doc_id, kind, start_byte, n_bytes, score): strings that look like credentials.
 
     Every run of at least 16 letters, digits and ``_+/-`` is scored by the automaton
-    of each kind; score is the lead in bits of the best kind over plain strings,
+    of each kind, and so is every string of 16 to 4096 bytes inside it that begins
+    or ends at one of the four marks; of strings that overlap the best returns.  score is the lead in bits of the best kind over plain strings,
     and rows of at least ``threshold`` return.  The secret itself does not.
 
     Rows with a null doc_id are left out; null and empty texts have no candidates;
@@ -280,11 +387,10 @@ def secrets(docs: DataFrame, formats: Formats | None = None, threshold: float =
                 row, s, e = candidates(own, part)
                 if not len(row):
                     continue
-                kind, bits = model.scores(own, s, e)
-                on = bits >= threshold
-                row, s, e = row[on], s[on], e[on]
+                run, s, e, kind, bits = model.found(own, s, e, threshold)
+                row = row[run]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(lo + row)), pa.array([model.names[k] for k in kind[on]], pa.string()), K.long_column(s - part[row]), K.long_column(e - s), pa.array(np.round(bits[on], 3))],
+                    [batch.column(0).take(pa.array(lo + row)), pa.array([model.names[k] for k in kind], pa.string()), K.long_column(s - part[row]), K.long_column(e - s), pa.array(np.round(bits, 3))],
                     ["doc_id", "kind", "start_byte", "n_bytes", "score"],
                 )
 
