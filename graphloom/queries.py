@@ -383,8 +383,8 @@ def q_markdown_blocks(spark, d):
 
 @query()
 def q_typescript_calls(spark, d):
-    """Calls in every document read as source code; no SQL has these rules."""
-    docs = spark.read.parquet(f"{d}/benchmark.parquet").select(F.col("item_id").cast("string").alias("resource"), F.col("item_id").cast("string").alias("uri"), F.lit(None).cast("string").alias("revision"), "text")
+    """Syntax nodes, calls among them, of every document read as source code, by kind; no SQL has these rules."""
+    docs = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").cast("string").alias("resource"), F.col("doc_id").cast("string").alias("uri"), F.lit(None).cast("string").alias("revision"), "text")
     q = D.documents(spark, docs, "ts").all()
     return q.dataframe(kind=lambda r: r.kind).groupBy("kind").agg(F.count("*").alias("n"))
 

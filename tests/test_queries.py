@@ -40,3 +40,18 @@ def test_query(spark, db, name):
     a, b = rows(got[cols]), rows(want[cols])
     norm = lambda xs: [tuple(float(v) if isinstance(v, numbers.Real) and not isinstance(v, bool) else v for v in x) for x in xs]
     assert sorted(norm(a), key=repr) == sorted(norm(b), key=repr)
+
+
+def test_typescript_nodes_of_all_documents(spark, tmp_path):
+    from collections import Counter
+
+    from graphloom.sources.parsers import parse_typescript
+
+    texts = ["f(g(1)); const x = h(2);", "plain words only", "import a from 'b'; a.b(3);", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.kind: r.n for r in Q.QUERIES["q_typescript_calls"](spark, str(tmp_path)).collect()}
+    assert got["ts::call"] == 4
+    want = Counter()
+    for t in texts[:3]:
+        want.update(r.kind for r in parse_typescript(t).rows)
+    assert {k: n for k, n in got.items() if k != "ts::source-file"} == {k: n for k, n in want.items() if k != "ts::source-file"}
