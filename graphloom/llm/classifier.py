@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from .shared import sent
 
 #: Buckets of hashed words; after them come the structure and metadata features.
 WORD_BITS = 17
@@ -267,10 +268,10 @@ def classified(docs: DataFrame, labels: DataFrame, meta=("lang", "source"), limi
     heads = [train(docs, labels, t, meta, limit) for t in ("quality", "toxic")]
     if not heads[0].w.any() and heads[0].cutoff > 0:
         heads[0].cutoff = -1.0
-    sent = spark.sparkContext.broadcast(heads)
+    held = sent(spark, heads)
 
     def score(batches):
-        good, bad = sent.value
+        good, bad = held()
         for batch in batches:
             for lo, hi, cut, index, value in features(batch.column(1), [batch.column(i) for i in range(2, batch.num_columns)]):
                 q = _probability(good.raw(cut, index, value) - good.cutoff)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .shared import spare_name, written
+from .shared import sent, spare_name, written
 
 #: Words of a shingle; an item with fewer words is one shingle of all its words.
 SHINGLE = 5
@@ -186,10 +186,11 @@ def _by_broadcast(spark, texts, entries, sizes, containment):
     e = entries.toPandas().sort_values(["item_id", "copy", "hash"])
     e["item"] = e.groupby(["item_id", "copy"]).ngroup()
     hashes = np.unique(e["hash"].to_numpy(np.int64).view(np.uint64))
-    sent = spark.sparkContext.broadcast(hashes)
+    held = sent(spark, hashes)
 
     def count(batches):
-        own, got = sent.value, np.zeros(len(sent.value), np.int64)
+        own = held()
+        got = np.zeros(len(own), np.int64)
         low = np.uint64((1 << 22) - 1)
         hint = np.zeros(1 << 22, bool)
         hint[(own & low).astype(np.int64)] = True
@@ -207,10 +208,10 @@ def _by_broadcast(spark, texts, entries, sizes, containment):
     order = e["hash"].map(rarity).fillna(0).to_numpy(np.int64)
     index = Index(e["item"].to_numpy(np.int64), e["size"].to_numpy(np.int64), e["words"].to_numpy(np.int64), e["hash"].to_numpy(np.int64).view(np.uint64), order, containment)
     names = e.drop_duplicates("item").set_index("item")["item_id"].sort_index().to_numpy(np.int64)
-    sent_index = spark.sparkContext.broadcast((index, names))
+    found = sent(spark, (index, names))
 
     def match(batches):
-        index, names = sent_index.value
+        index, names = found()
         for batch in batches:
             ids = batch.column(0).to_numpy()
             for lo, _, row, place, g in doc_shingles(batch.column(1), sizes):

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from . import tokenizers as tok
-from .shared import written
+from .shared import sent, written
 
 #: Columns whose values get target shares of the tokens.
 DIMENSIONS = ("source", "lang")
@@ -188,11 +188,11 @@ def _plan(docs, dimensions, targets, temperature, budget, measure, tokenizer, fo
     cells = written(base.mapInArrow(tally, schema).groupBy(*names, "tokens").agg(F.sum("docs").alias("docs")), "cells")
     wanted = {f"d{i}": (targets or {}).get(d) for i, d in enumerate(dims)}
     balance = solve(cells, names, wanted, temperature, budget)
-    sent = spark.sparkContext.broadcast(balance)
+    held = sent(spark, balance)
 
     def rate(batch, at):
         t = _counted(batch.column(at["text"]).cast(pa.string()), batch.column(at["tokens"]), measure, tokenizer, folder)
-        r = sent.value.rates([batch.column(k).cast(pa.string()).to_pylist() for k in at["dims"]], t)
+        r = held().rates([batch.column(k).cast(pa.string()).to_pylist() for k in at["dims"]], t)
         r[t == 0] = 1.0
         return t, r, _rounded(r, _unit(batch.column(at["id"]).cast(pa.int64()), seed))
 

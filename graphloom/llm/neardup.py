@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -11,19 +9,19 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .components import connected
-from .shared import worker_cache, written
+from .shared import spare_name, worker_cache, written
 
 SHINGLE = 3
 BANDS, ROWS = 24, 4
 THRESHOLD = 0.6
-#: No share of the documents is a floor: every shingle has the weight of its own document count.
-RARE_SHARE = 0.0
 #: Bytes of text whose shingles are counted and signed together.
 PIECE = 4 << 20
 #: Bytes of text for which one task counts documents; shingles are dealt to such tasks by their identifiers.
 BUCKET = 16 << 20
-#: Documents that one task compares; larger candidate groups are split by their buckets.
-MAX_TOGETHER = 50_000
+#: Shingles whose texts one task compares at once; larger candidate groups are split by their buckets, larger buckets into blocks.
+MAX_TOGETHER = 4_000_000
+#: Identifiers (8 bytes each) sent to every executor to thin out the texts before they are shuffled; more are joined.
+MAX_SENT = 2_000_000
 _ID = np.uint64(12)  # shingle identifiers keep the upper 52 bits
 _TABLE = 1 << 16
 
@@ -48,75 +46,59 @@ def doc_shingles(texts: pa.Array, n: int = SHINGLE):
             yield lo, hi, r[at], g[at], np.diff(np.r_[at, len(r)])
 
 
-class Idf:
-    """log(1 + N / max(df, floor)): exact above the floor, one value below it."""
-
-    def __init__(self, n_docs: int, floor: float, ids: np.ndarray, df: np.ndarray):
-        self.rest = math.log1p(max(n_docs, 1) / max(floor, 1.0))
-        o = np.argsort(ids)
-        self.ids, self.idf = ids[o], np.log1p(n_docs / df[o])
-        self.hint = None
-
-    def __getstate__(self):
-        return {**self.__dict__, "hint": None}
-
-    def weights(self, ids: np.ndarray, tf: np.ndarray):
-        """(weight of every id, indexes of those that differ from one rare occurrence)."""
-        if self.hint is None:
-            self.hint = np.zeros(1 << 22, bool)
-            self.hint[(self.ids & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
-        maybe = np.flatnonzero(self.hint[(ids & np.uint64((1 << 22) - 1)).astype(np.int64)])
-        w = tf * self.rest
-        if len(maybe) and len(self.ids):
-            at = np.minimum(np.searchsorted(self.ids, ids[maybe]), len(self.ids) - 1)
-            hit = self.ids[at] == ids[maybe]
-            w[maybe[hit]] = tf[maybe[hit]] * self.idf[at[hit]]
-            maybe = maybe[hit]
-        else:
-            maybe = maybe[:0]
-        odd = tf > 1
-        odd[maybe] = True
-        return w, np.flatnonzero(odd)
+def weights(tf: np.ndarray, df: np.ndarray, n_docs: int) -> np.ndarray:
+    """Term frequency times log(1 + documents / documents that hold the shingle)."""
+    return tf * np.log1p(max(n_docs, 1) / df)
 
 
 def _draws():
-    """Tables of the sampling scheme's random variables: r, log c, beta."""
+    """Tables of the sampling scheme's random variables: r, log c, beta.
+
+    A shingle takes r and beta from one place and c from another, chosen by
+    different bits of its identifier, so that 2**32 combinations are possible.
+    """
     cache = worker_cache()
     if "icws" not in cache:
         g = np.random.default_rng(20260101)
         r = g.gamma(2.0, 1.0, _TABLE)
         c = np.log(g.gamma(2.0, 1.0, _TABLE))
         b = g.random(_TABLE)
-        cache["icws"] = (r, c, b, K._random_table(5, 512) | np.uint64(1))
+        cache["icws"] = (r.astype(np.float32), c.astype(np.float32), b.astype(np.float32), K._random_table(5, 512) | np.uint64(1))
     return cache["icws"]
 
 
-def _sample(w, r, c, b):
-    """(log a, level t) of weight w under the draws; the element with the least a is sampled."""
-    t = np.floor(np.log(w) / r + b)
-    return (c - r * (t - b + 1.0)).astype(np.float32), t
+def _sample(log_w, r, b):
+    """(log a without log c, level t) of a weight under the draws; the element with the least a is sampled."""
+    t = np.floor(log_w / r + b)
+    return -r * (t - b + np.float32(1)), t
 
 
-def signatures(row, ids, tf, rows: int, idf: Idf, bands: int = BANDS, per: int = ROWS) -> np.ndarray:
-    """Band keys (rows x bands) of weighted shingle sets; rows without shingles keep zeros."""
+def signatures(row, ids, w, rows: int, bands: int = BANDS, per: int = ROWS) -> np.ndarray:
+    """Band keys (rows x bands) of shingle sets with weights ``w``; rows without shingles keep zeros."""
     out = np.zeros((rows, bands), np.uint64)
     if not len(row):
         return out
     start = K.groups(row)
     size = np.diff(np.r_[start, len(row)])
     who = np.repeat(np.arange(len(start)), size)
-    w, odd = idf.weights(ids, tf)
     r, c, b, mult = _draws()
-    base_a, base_t = _sample(np.float64(idf.rest), r, c, b)
-    wo, io = w[odd], ids[odd]
+    # most shingles weigh what one occurrence in one document does: their samples are looked up
+    log_w = np.log(w).astype(np.float32)
+    values, many = np.unique(log_w, return_counts=True)
+    base = values[many.argmax()]
+    odd = np.flatnonzero(log_w != base)
+    base_a, base_t = _sample(base, r, b)
+    wo, io = log_w[odd], ids[odd]
     for k in range(bands):
         key = np.full(len(start), k + 1, np.uint64)
         for j in range(k * per, (k + 1) * per):
-            at = (ids * mult[j] >> np.uint64(48)).astype(np.uint16)
+            draw = ids * mult[j]
+            at = (draw >> np.uint64(48)).astype(np.uint16)
             a = base_a[at]
             x = at[odd]
-            a_odd, t_odd = _sample(wo, r[x], c[x], b[x])
+            a_odd, t_odd = _sample(wo, r[x], b[x])
             a[odd] = a_odd
+            a += c[(draw >> np.uint64(32)).astype(np.uint16)]
             low = np.minimum.reduceat(a, start)
             hit = np.flatnonzero(a == np.repeat(low, size))
             hit = hit[K.groups(who[hit])]
@@ -142,6 +124,11 @@ def weighted_jaccard(a, b) -> float:
     return float(low / (a[1].sum() + b[1].sum() - low))
 
 
+def _identified(texts: DataFrame) -> DataFrame:
+    """Two 64-bit hashes of the text: equal ones are equal texts."""
+    return texts.withColumn("digest", F.xxhash64("text")).withColumn("twin", F.xxhash64(F.lit(1), "text"))
+
+
 def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
 
@@ -178,7 +165,7 @@ def counted(texts: DataFrame) -> tuple[int, DataFrame, DataFrame]:
     total = texts.agg(F.count("*").alias("docs"), F.sum(F.octet_length("text")).alias("bytes")).first()
     size = total.bytes or 0
     buckets = min(-(-size // BUCKET) or 1, 1 << 20)
-    parts = texts.withColumn("digest", F.xxhash64("text")).withColumn("piece", F.pmod(F.xxhash64("doc_id"), F.lit(-(-size // PIECE) or 1)))
+    parts = _identified(texts).withColumn("piece", F.pmod(F.xxhash64("doc_id"), F.lit(-(-size // PIECE) or 1)))
 
     def spread(table):
         ids, docs, _ = _piece_shingles(table.column("text"))
@@ -215,15 +202,14 @@ def counted(texts: DataFrame) -> tuple[int, DataFrame, DataFrame]:
 def _verify(members, buckets, threshold):
     """(doc_id, root) of documents joined within shared buckets.
 
-    members: {doc_id: (ids, weights)}; buckets: lists of doc_ids that share a key.
+    members: {(doc_id, digest): (ids, weights)}; buckets: lists of members that share a key.
     Equal sets count as one.  Any two members of a bucket that are not connected
     yet are compared, so the components are those of all-pairs comparison.
     """
     alike, root = {}, {}
     for d in sorted(members):
         ids, w = members[d]
-        first = alike.setdefault((ids.tobytes(), w.tobytes()), d)
-        root[d] = first if len(ids) else d
+        root[d] = alike.setdefault((ids.tobytes(), w.tobytes()), d)
 
     def find(x):
         while root[x] != x:
@@ -233,7 +219,7 @@ def _verify(members, buckets, threshold):
 
     failed, done = set(), set()
     for docs in buckets:
-        nodes = sorted({d if not len(members[d][0]) else alike[members[d][0].tobytes(), members[d][1].tobytes()] for d in docs})
+        nodes = sorted({alike[members[d][0].tobytes(), members[d][1].tobytes()] for d in docs})
         if len(nodes) < 2 or tuple(nodes) in done:
             continue
         done.add(tuple(nodes))
@@ -246,100 +232,134 @@ def _verify(members, buckets, threshold):
                     root[max(a, b)] = min(a, b)
                 else:
                     failed.add((x, y))
-    return [(d, find(d)) for d in sorted(members) if find(d) != d]
+    return sorted({(d[0], find(d)[0]) for d in members if find(d)[0] != d[0]})
 
 
 def signed(texts: DataFrame, bands: int = BANDS, rows: int = ROWS) -> tuple[int, DataFrame]:
-    """Number of documents, and (doc_id, digest, bands, df) of each text with a shingle.
+    """Number of documents, and (doc_id, digest, twin, bands, df) of each text with a shingle.
 
     df has the document counts of its shingles in the order of their identifiers.
     """
     n_docs, parts, counts = counted(texts)
 
     def sign(table, counts):
-        doc, digest = table.column("doc_id").to_numpy(), table.column("digest").to_numpy()
+        doc, digest, twin = (table.column(c).to_numpy() for c in ("doc_id", "digest", "twin"))
         u, _, blocks = _piece_shingles(table.column("text"))
         counts = counts.sort_by("bucket")
         df = np.concatenate([np.zeros(0, np.uint64), *(_numbers(d.as_py(), n) for d, n in zip(counts.column("df"), counts.column("n").to_pylist()))])
         if len(df) != len(u):
             raise RuntimeError("a piece of the corpus changed between two reads")
-        some = df > 1
-        idf = Idf(n_docs, 1.0, u[some], df[some].astype(float))
         out = []
         for lo, hi, row, x, tf in blocks:
             if not len(row):
                 continue
-            sig = signatures(row, x, tf, hi - lo, idf, bands, rows)
             own = df[np.searchsorted(u, x)]
+            sig = signatures(row, x, weights(tf, own, n_docs), hi - lo, bands, rows)
             cut = np.searchsorted(row, np.arange(hi - lo + 1))
             out += [(lo + i, sig[i], _planes(own[cut[i] : cut[i + 1]])) for i in np.flatnonzero(np.diff(cut))]
-        # equal rows of one doc_id are signed once
-        out = list({(doc[i], digest[i]): (i, s, d) for i, s, d in out}.values())
         at = np.array([i for i, _, _ in out], np.int64)
         keys = K.long_column(np.concatenate([np.zeros(0, np.uint64), *(s for _, s, _ in out)]))
-        return pa.table({"doc_id": K.long_column(doc[at]), "digest": K.long_column(digest[at]), "bands": pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1) * bands, pa.int32()), keys), "df": pa.array([d for _, _, d in out], pa.binary())})
+        return pa.table(
+            {
+                "doc_id": K.long_column(doc[at]),
+                "digest": K.long_column(digest[at]),
+                "twin": K.long_column(twin[at]),
+                "bands": pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1) * bands, pa.int32()), keys),
+                "df": pa.array([d for _, _, d in out], pa.binary()),
+            }
+        )
 
-    return n_docs, written(parts.groupBy("piece").cogroup(counts.groupBy("piece")).applyInArrow(sign, "doc_id long, digest long, bands array<long>, df binary"), "signed")
+    return n_docs, parts.groupBy("piece").cogroup(counts.groupBy("piece")).applyInArrow(sign, "doc_id long, digest long, twin long, bands array<long>, df binary")
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, max_together: int = MAX_TOGETHER) -> DataFrame:
+def _homes(shared: DataFrame, placed: DataFrame, most: int) -> DataFrame:
+    """(doc_id, digest, home, buckets): where the members of candidate groups are compared.
+
+    A group with at most ``most`` shingles has one home.  Of a larger one each bucket
+    is a home of its own, and a larger bucket is dealt into chunks of which every
+    two meet in a home: any two texts that share a bucket meet somewhere.
+    """
+    by_text = shared.groupBy("doc_id", "digest").agg(F.collect_set("bucket").alias("buckets"), F.first("n").alias("n"))
+    whole = by_text.join(placed, by_text.doc_id == placed.node)
+    together = F.array(F.struct(F.col("component").alias("home"), F.col("buckets").alias("buckets")))
+    apart = F.transform("buckets", lambda b: F.struct(b.alias("home"), F.array(b).alias("buckets")))
+    large = F.col("size") > most
+    homes = written(whole.select("doc_id", "digest", "n", large.alias("apart"), F.explode(F.when(large, apart).otherwise(together)).alias("h")).select("doc_id", "digest", "n", "apart", "h.home", "h.buckets"), "homes")
+    over = homes.where("apart").groupBy("home").agg(F.sum("n").alias("held")).where(F.col("held") > most)
+    over = over.select("home", F.ceil(F.col("held") * 2 / most).cast("long").alias("chunks"))
+    split = homes.join(over.withColumn("apart", F.lit(True)), ["home", "apart"], "left")
+    chunk = F.pmod(F.xxhash64("doc_id", "digest"), F.col("chunks"))
+    pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1), lambda j: F.xxhash64("home", F.least(chunk, j), F.greatest(chunk, j)))
+    return split.select("doc_id", "digest", F.explode(F.when(F.col("chunks").isNull(), F.array("home")).otherwise(pairs)).alias("home"), "buckets")
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, max_together: int = MAX_TOGETHER, max_sent: int = MAX_SENT) -> DataFrame:
     """(doc_id, group_id, keep): near-duplicate groups of ``docs`` (doc_id, text, ...).
 
     Two documents are near duplicates if the weighted Jaccard similarity of their
     TF-IDF word shingles reaches ``threshold``, with IDF = log(1 + documents /
-    documents that hold the shingle), counted exactly for every shingle; groups are connected components
-    over pairs that share a band of samples and pass that test.  group_id is the
-    smallest doc_id of the group, and only that document has keep = true.
+    documents that hold the shingle), counted exactly for every shingle; groups are
+    connected components over pairs that share a band of samples and pass that
+    test.  group_id is the smallest doc_id of the group, and only that document has
+    keep = true.
 
     One row per distinct doc_id.  Rows with a null doc_id are left out.  A text
-    that is null, empty or without letters and digits is a group of its own.  Of
-    repeated rows of one doc_id the one with the greatest text counts.  Texts
-    with fewer than three words are one shingle.  An empty table gives an empty
-    result; other columns are ignored.
+    that is null, empty or without letters and digits is a group of its own.  Rows
+    of one doc_id are one document, near whatever any of its texts is near to; each
+    row counts in the document counts.  Texts with fewer than three words are one
+    shingle; long texts count whole.  Equal texts are one in the comparison; ties
+    have no effect on groups.  An empty table gives an empty result; other columns
+    are ignored, whatever their names.
     """
     texts = _texts(docs)
     n_docs, signs = signed(texts, bands, rows)
-    keys = signs.select("doc_id", F.explode("bands").alias("bucket"))
-    many = keys.groupBy("bucket").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first <> last").select("bucket", "first")
-    shared = written(keys.join(many, "bucket").select("doc_id", "bucket", "first"), "shared")
-    candidates = connected(shared.select(F.col("doc_id").alias("a"), F.col("first").alias("b")))
-    sizes = candidates.groupBy("component").agg(F.count("*").alias("docs"))
-    placed = candidates.join(sizes, "component")
-    by_doc = shared.groupBy("doc_id").agg(F.collect_set("bucket").alias("buckets"))
-    whole = by_doc.join(placed, by_doc.doc_id == placed.node).select("doc_id", "buckets", "component", "docs")
-    # a group too large for one task goes bucket by bucket
-    homes = whole.select("doc_id", F.explode(F.when(F.col("docs") <= max_together, F.array(F.struct(F.col("component").alias("home"), F.col("buckets").alias("buckets")))).otherwise(F.transform("buckets", lambda b: F.struct(b.alias("home"), F.array(b).alias("buckets"))))).alias("h"))
-    homes = written(homes.select("doc_id", "h.home", "h.buckets"), "homes")
-    placed = signs.select("doc_id", "digest", "df").join(homes, "doc_id")
-    fetched = texts.withColumn("digest", F.xxhash64("text")).join(placed, ["doc_id", "digest"]).select("home", "doc_id", "buckets", "text", "df").repartition("home")
+    # equal texts have equal signatures: one of them stands for all
+    classes = written(signs.groupBy("digest", "twin").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("df").alias("df")), "classes")
+    keys = classes.select("doc_id", "digest", F.octet_length("df").alias("n"), F.explode("bands").alias("bucket"))
+    who = F.struct("doc_id", "digest")
+    many = keys.groupBy("bucket").agg(F.min(who).alias("first"), F.max(who).alias("last")).where("first <> last").select("bucket", F.col("first.doc_id").alias("first"))
+    shared = written(keys.join(many, "bucket").select("doc_id", "digest", "n", "bucket", "first"), "shared")
+    candidates = written(connected(shared.select(F.col("doc_id").alias("a"), F.col("first").alias("b"))), "candidates")
+    sizes = shared.select("doc_id", "digest", "n").distinct().join(candidates, F.col("doc_id") == F.col("node")).groupBy("component").agg(F.sum("n").alias("size"))
+    homes = _homes(shared, candidates.join(sizes, "component"), max_together)
+    members = written(classes.select("doc_id", "digest", "df").join(homes, ["doc_id", "digest"]), "members")
+    few = members.select("doc_id").distinct()
+    near = texts.join(F.broadcast(few), "doc_id", "left_semi") if few.count() <= max_sent else texts
+    fetched = near.withColumn("digest", F.xxhash64("text")).join(members, ["doc_id", "digest"]).select("home", "doc_id", "digest", "buckets", "text", "df")
+    fetched = fetched.repartition("home").sortWithinPartitions("home")
 
     def verify(batches):
-        groups: dict = {}
+        at, members, where = None, {}, {}
+
+        def joined():
+            got = _verify(members, [sorted(x) for x in where.values() if len(x) > 1], threshold)
+            return [pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64())], ["a", "b"])] if got else []
+
         for batch in batches:
-            home, ids = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            keys = batch.column(2).to_pylist()
-            for lo, hi, row, x, tf in doc_shingles(batch.column(3)):
+            home, ids, digest, keys = (batch.column(i).to_pylist() for i in range(4))
+            for lo, hi, row, x, tf in doc_shingles(batch.column(4)):
                 cut = np.searchsorted(row, np.arange(hi - lo + 1))
-                df = np.concatenate([_numbers(batch.column(4)[lo + i].as_py(), int(cut[i + 1] - cut[i])) for i in range(hi - lo)])
-                w = tf * np.log1p(n_docs / df)
+                df = np.concatenate([_numbers(batch.column(5)[lo + i].as_py(), int(cut[i + 1] - cut[i])) for i in range(hi - lo)])
+                w = weights(tf, df, n_docs)
                 for i in range(hi - lo):
-                    members, where = groups.setdefault(home[lo + i], ({}, {}))
-                    own = (x[cut[i] : cut[i + 1]].copy(), w[cut[i] : cut[i + 1]].copy())
-                    d = ids[lo + i]
-                    if d not in members or (own[0].tobytes(), own[1].tobytes()) > (members[d][0].tobytes(), members[d][1].tobytes()):
-                        members[d] = own
+                    if home[lo + i] != at:
+                        yield from joined()
+                        at, members, where = home[lo + i], {}, {}
+                    d = (ids[lo + i], digest[lo + i])
+                    members[d] = (x[cut[i] : cut[i + 1]].copy(), w[cut[i] : cut[i + 1]].copy())
                     for b in keys[lo + i]:
                         where.setdefault(b, set()).add(d)
-        for members, where in groups.values():
-            got = _verify(members, [sorted(x) for x in where.values() if len(x) > 1], threshold)
-            if got:
-                yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64())], ["a", "b"])
+        yield from joined()
 
-    groups = connected(written(fetched.mapInArrow(verify, "a long, b long"), "pairs"))
-    every = texts.select("doc_id").distinct()
-    out = every.join(groups, every.doc_id == groups.node, "left")
-    group = F.coalesce("component", "doc_id")
-    return out.select("doc_id", group.alias("group_id"), (group == F.col("doc_id")).alias("keep"))
+    own = written(_identified(texts).select("doc_id", "digest", "twin"), "identities")
+    # a doc_id with several texts joins the groups of all of them
+    several = own.groupBy("doc_id").agg(F.min(F.struct("digest", "twin")).alias("low"), F.max(F.struct("digest", "twin")).alias("high")).where("low <> high").select("doc_id")
+    reps = classes.select("digest", "twin", F.col("doc_id").alias("rep"))
+    bridges = own.join(several, "doc_id").join(reps, ["digest", "twin"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    groups = connected(written(fetched.mapInArrow(verify, "a long, b long"), "pairs").unionAll(bridges))
+    every = own.join(reps, ["digest", "twin"], "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"))
+    out = every.join(groups, every.rep == groups.node, "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("group_id"))
+    return out.select("doc_id", "group_id", (F.col("group_id") == F.col("doc_id")).alias("keep"))
 
 
 def without_near_duplicates(docs: DataFrame, **how) -> DataFrame:
@@ -347,5 +367,6 @@ def without_near_duplicates(docs: DataFrame, **how) -> DataFrame:
 
     Rows with a null doc_id stay, as nothing is known against them.
     """
-    drop = near_duplicates(docs, **how).where("not keep").select(F.col("doc_id").alias("loom_drop"))
-    return docs.join(drop, docs["doc_id"].cast("long") == drop["loom_drop"], "left_anti")
+    name = spare_name(docs, "loom_drop")
+    drop = near_duplicates(docs, **how).where("not keep").select(F.col("doc_id").alias(name))
+    return docs.join(drop, docs["doc_id"].cast("long") == drop[name], "left_anti")

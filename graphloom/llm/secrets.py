@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from .shared import sent
 
 CHARS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_+/-"
 #: Shorter runs of these characters are no candidates; no labelled credential is shorter.
@@ -375,11 +376,11 @@ def secrets(docs: DataFrame, formats: Formats | None = None, threshold: float =
     repeated rows give their rows once; ties between kinds go to the first by name.
     An empty table gives an empty result; other columns are ignored.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(formats or trained())
+    held = sent(docs.sparkSession, formats or trained())
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
 
     def scan(batches):
-        model = sent.value
+        model = held()
         for batch in batches:
             data, offs = K.buffer(batch.column(1))
             for lo, hi in K.pieces(offs):

@@ -9,6 +9,7 @@ import tempfile
 import types
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 _ROOTS: dict[str, str] = {}
@@ -52,6 +53,26 @@ def delete_path(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def sent(spark: SparkSession, value):
+    """Broadcast ``value``; the result is a function that gives it back on a worker.
+
+    Classes of this package travel by value, as a plain broadcast would need the
+    package on every executor.  A Python worker unpacks each value once.
+    """
+    packed = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    name = uuid.uuid4().hex
+
+    def get():
+        held = worker_cache().setdefault("sent", {})
+        if name not in held:
+            while len(held) > 3:
+                held.pop(next(iter(held)))
+            held[name] = cloudpickle.loads(packed.value)
+        return held[name]
+
+    return get
+
+
 def worker_cache() -> dict:
     """Per-process dictionary that outlives one task in a reused Python worker."""
     name = "_loom_worker_cache"

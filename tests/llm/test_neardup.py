@@ -36,8 +36,7 @@ def weighted(rows):
         for i in ids.tolist():
             df[i] = df.get(i, 0) + 1
     n = len(rows)
-    floor = max(N.RARE_SHARE * n, 1.0)
-    return {d: (ids, tf * np.array([np.log1p(n / max(df[i], floor)) for i in ids.tolist()])) for d, (ids, tf) in sets.items()}
+    return {d: (ids, tf * np.array([np.log1p(n / df[i]) for i in ids.tolist()])) for d, (ids, tf) in sets.items()}
 
 
 def test_recall_against_brute_force(spark):
@@ -64,19 +63,19 @@ def test_sampling_collides_as_often_as_sets_agree():
     g = np.random.default_rng(3)
     ids = np.sort(g.choice(1 << 40, 300, replace=False)).astype(np.uint64)
     other = np.sort(np.r_[ids[:200], g.choice(1 << 40, 100, replace=False).astype(np.uint64)])
-    idf = N.Idf(100, 1.0, np.zeros(0, np.uint64), np.zeros(0))
-    one = np.ones(300, np.int64)
-    a = N.signatures(np.zeros(300, np.int64), ids, one, 1, idf, 400, 1)[0]
-    b = N.signatures(np.zeros(300, np.int64), other, one, 1, idf, 400, 1)[0]
-    assert abs((a == b).mean() - 0.5) < 0.09
+    at = np.zeros(300, np.int64)
+    for w, v in ((np.full(300, 4.6), np.full(300, 4.6)), (1.0 + ids % 5, 1.0 + other % 5), (1.0 + ids % 5, 2.0 + other % 3)):
+        a = N.signatures(at, ids, w, 1, 400, 1)[0]
+        b = N.signatures(at, other, v, 1, 400, 1)[0]
+        assert abs((a == b).mean() - N.weighted_jaccard((ids, w), (other, v))) < 0.09
 
 
 def test_one_of_each_group_stays_whatever_the_task_size(spark):
     g = random.Random(13)
     rows, groups = family(g, 12, [1, 2, 9])
     rows = [(d, t) for d, t in rows]
-    for together in (N.MAX_TOGETHER, 2):
-        left = {r.doc_id for r in N.without_near_duplicates(documents(spark, rows, "clash"), max_together=together).collect()}
+    for together, sent in ((N.MAX_TOGETHER, N.MAX_SENT), (2000, 0), (400, N.MAX_SENT)):
+        left = {r.doc_id for r in N.without_near_duplicates(documents(spark, rows, "clash"), max_together=together, max_sent=sent).collect()}
         assert left == {min(x) for x in groups}
 
 
@@ -87,6 +86,14 @@ def test_awkward(spark):
     assert N.without_near_duplicates(documents(spark, awkward())).where("doc_id is null").count() == 1
 
 
+def test_a_document_with_several_texts_joins_their_groups(spark):
+    g = random.Random(16)
+    x, y, z = (words(g, 60) for _ in range(3))
+    rows = [(3, x), (7, x), (7, y), (9, y), (11, z), (12, z + " more")]
+    got = {r.doc_id: (r.group_id, r.keep) for r in N.near_duplicates(documents(spark, rows)).collect()}
+    assert got == {3: (3, True), 7: (3, False), 9: (3, False), 11: (11, True), 12: (11, False)}
+
+
 @pytest.mark.parametrize("one_task", [10**6, 0])
 def test_components(spark, one_task):
     edges = [(i, i + 1) for i in range(20)] + [(40, 41), (41, 42), (50, 50), (None, 3), (41, 40)]
