@@ -7,6 +7,7 @@ import bisect
 import json
 import math
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -16,13 +17,17 @@ from pyspark.sql import functions as F
 from . import kernels as K
 from .shared import sent
 
-CHARS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_+/-"
-#: Shorter runs of these characters are no candidates; no labelled credential is shorter.
+CHARS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_+/-.="
+#: Shorter strings of these characters are no candidates; no labelled credential is shorter.
 MIN_LENGTH = 16
 #: Bits by which a credential format must beat plain text.
 THRESHOLD = 14.0
-#: Bytes of the longest string judged inside a run; whole runs have no limit. Bounds the cost of runs of megabytes with marks throughout.
-INSIDE = 4096
+#: Strings longer than this many times the longest labelled credential are no candidates themselves; those inside them are.
+LONGER = 2
+#: A format is looked for inside words if it begins with SURE symbols of at least this joint probability (bits).
+SURE, SURE_BITS = 4, -8.0
+#: Candidates scored at once.
+BLOCK = 200_000
 #: Confidence of the compatibility test of two states.
 ALPHA = 0.02
 PER_KIND = 300
@@ -34,12 +39,12 @@ LOST = 9.0
 SWITCH = 0.1
 _SYMBOL = np.full(256, -1, np.int64)
 _SYMBOL[[ord(c) for c in CHARS]] = np.arange(len(CHARS))
-_CLASS = np.repeat([0, 1, 2, 3], [26, 26, 10, 4])
-_CLASS_BITS = np.log2(np.array([26, 26, 10, 4]))
+_CLASS = np.repeat([0, 1, 2, 3], [26, 26, 10, 6])
+_CLASS_BITS = np.log2(np.array([26, 26, 10, 6]))
 
 
 def labelled_credentials(per_kind: int = PER_KIND, seed: int = 7) -> list[tuple[str, str]]:
-    """(kind, text): invented credentials in public formats, and plain strings of kind "plain"."""
+    """(kind, text): invented credentials in public formats, and strings of kinds that begin with "plain"."""
     g = random.Random(seed)
     upper, lower, digits = CHARS[:26], CHARS[26:52], CHARS[52:62]
     b62, b32, hexa, b64, b64u = upper + lower + digits, upper + "234567", "0123456789abcdef", CHARS[:62] + "+/", CHARS[:62] + "_-"
@@ -51,7 +56,8 @@ def labelled_credentials(per_kind: int = PER_KIND, seed: int = 7) -> list[tuple[
         def part(x):
             return base64.urlsafe_b64encode(json.dumps(x).encode()).decode().rstrip("=")
 
-        return part({"alg": g.choice(["HS256", "RS256", "ES256"]), "typ": "JWT", "kid": some(b62, 8)})
+        head = g.choice([{"alg": g.choice(["HS256", "RS256", "ES256"]), "typ": "JWT"}, {"alg": "RS256", "typ": "JWT", "kid": some(b62, 8)}])
+        return ".".join([part(head), part({"sub": some(digits, 10), "exp": g.randint(10**9, 2 * 10**9)}), some(b64u, 43)])
 
     kinds = {
         "aws-access-key-id": lambda: g.choice(["AKIA", "ASIA"]) + some(b32, 16),
@@ -65,6 +71,8 @@ def labelled_credentials(per_kind: int = PER_KIND, seed: int = 7) -> list[tuple[
         "npm-token": lambda: "npm_" + some(b62, 36),
         "gitlab-token": lambda: "glpat-" + some(b64u, 20),
         "json-web-token": jwt,
+        "account-key": lambda: some(b64, 86) + "==",
+        "private-key": lambda: "-----BEGIN_" + g.choice(["RSA_", "EC_", "DSA_", "OPENSSH_", "ENCRYPTED_", ""]) + "PRIVATE_KEY-----",
     }
     syllables = "the and ing er ion tion ent ou re es st en at ed or is it al ar te se co de ra li ri ro ne me an ch le la un ver ge be au ein keit ment eau ai que ción mente os as".replace("ó", "o").split()
 
@@ -83,11 +91,21 @@ def labelled_credentials(per_kind: int = PER_KIND, seed: int = 7) -> list[tuple[
         lambda: "-".join(some(digits, 4) for _ in range(g.randint(4, 6))),
         lambda: f"{g.randint(1990, 2030)}-{g.randint(1, 12):02d}-{g.randint(1, 28):02d}/{word()}",
         lambda: "".join(g.choices(syllables, k=g.randint(4, 8))) + some(digits, g.randint(1, 4)),
-        lambda: g.choice("-_=+/".replace("=", "")) * g.randint(16, 60),
+        lambda: g.choice("-_=+/.") * g.randint(16, 60),
     ]
     out = [(kind, make()) for kind, make in kinds.items() for _ in range(per_kind)]
     out += [("plain", x) for make in plain for x in (make() for _ in range(per_kind)) if len(x) >= MIN_LENGTH]
-    return out
+
+    def some_words(a, b, most):
+        return ["".join(g.choices(syllables, k=g.randint(1, most))) for _ in range(g.randint(a, b))]
+
+    others = {
+        "plain-uuid": lambda: "-".join(some(hexa, n) for n in (8, 4, 4, 4, 12)),
+        "plain-asset": lambda: "/".join(some_words(1, 5, 3)) + g.choice("./-") + some(hexa, g.choice([8, 10, 12, 16, 20, 32, 40])) + g.choice([".js", ".css", ".png", ".min.js", ".html", ""]),
+        "plain-host": lambda: ".".join(some_words(2, 4, 3)) + g.choice(["", "/" + "/".join(some_words(1, 4, 3)), "/" + "-".join(some_words(2, 6, 2)) + ".html"]),
+        "plain-setting": lambda: g.choice("_.".join(some_words(1, 2, 2)).split("_")) + "=" + g.choice([some(digits, g.randint(1, 12)), *some_words(1, 3, 4)]),
+    }
+    return out + [(kind, x) for kind, make in others.items() for x in (make() for _ in range(per_kind)) if len(x) >= MIN_LENGTH]
 
 
 class _Tree:
@@ -191,20 +209,6 @@ class Automaton:
         tail = np.exp(-n / self.mean) / self.mean
         return np.log2(0.95 * seen + 0.05 * tail + 1e-300)
 
-    def score(self, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """Bits of data[start:start+size] (symbols) for all candidates at once; sizes descend."""
-        out = np.zeros(len(start))
-        state = np.zeros(len(start), np.int32)
-        live = len(start)
-        for i in range(int(size[0]) if len(size) else 0):
-            while size[live - 1] <= i:
-                live -= 1
-            c = data[start[:live] + i]
-            out[:live] += self.bits[state[:live], c]
-            state[:live] = self.next[state[:live], c]
-        return out + self.length_bits(size)
-
-
     def prefix_bits(self, data: np.ndarray, start: np.ndarray, reach: np.ndarray, who: np.ndarray, size: np.ndarray) -> np.ndarray:
         """Bits of data[start[who]:start[who]+size], one pass for all prefixes of a start; reaches descend, sizes ascend."""
         out, got = np.zeros(len(start)), np.zeros(len(who))
@@ -222,50 +226,42 @@ class Automaton:
         return got + self.length_bits(size)
 
 
-def _run_bits(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Bits of strings that are runs of one class of characters, uniform within the class."""
-    kind = _CLASS[np.maximum(data, 0)]
-    step = np.zeros(len(data) + 1)
-    change = np.full(len(data), math.log2(1 - SWITCH))
+def _steps(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(running sum of bits, bits of each change) of characters as runs of one class, uniform within the class."""
+    kind = _CLASS[np.maximum(symbols, 0)]
+    change = np.full(len(symbols), math.log2(1 - SWITCH))
     change[1:][kind[1:] != kind[:-1]] = math.log2(SWITCH / 3)
-    np.cumsum(change - _CLASS_BITS[kind], out=step[1:])
+    return np.r_[0.0, np.cumsum(change - _CLASS_BITS[kind])], change
+
+
+def _run_bits(symbols: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Bits of strings that are runs of one class of characters."""
+    step, change = _steps(symbols)
     return step[start + size] - step[start] - change[start] - 2.0
 
 
 class Formats:
-    """One automaton for each labelled kind."""
+    """One automaton for each labelled kind, of credentials and of plain strings."""
 
     def __init__(self, labelled: list[tuple[str, str]], alpha: float = ALPHA):
         kinds: dict[str, list[str]] = {}
         for kind, text in labelled:
             kinds.setdefault(kind, []).append(text)
-        if "plain" not in kinds or len(kinds) < 2:
+        plain = sorted(k for k in kinds if k.startswith("plain"))
+        if not plain or len(plain) == len(kinds):
             raise ValueError("labels need plain strings and at least one kind of credential")
-        self.plain = Automaton(kinds.pop("plain"), alpha)
+        # kinds whose strings all have a mark say nothing of strings without one
+        self.marked = [all(re.search(r"[_+/.=-]", t) for t in kinds[k]) for k in plain]
+        self.plain = [Automaton(kinds.pop(k), alpha) for k in plain]
         self.names = sorted(kinds)
         self.automata = [Automaton(kinds[k], alpha) for k in self.names]
+        self.longest = LONGER * max(len(a.length) - 1 for a in self.automata)
 
-    def scores(self, data: np.ndarray, start: np.ndarray, end: np.ndarray):
-        """(kind index, bits over plain text) of candidates data[start:end]."""
-        if not len(start):
-            return np.zeros(0, np.int64), np.zeros(0)
-        size = end - start
-        o = np.argsort(-size, kind="stable")
-        symbols = _SYMBOL[data]
-        s, n = start[o], size[o]
-        each = np.array([a.score(symbols, s, n) for a in self.automata])
-        # words that no labelled string is like are still runs of small letters, digits and so on
-        plain = np.maximum(self.plain.score(symbols, s, n), _run_bits(symbols, s, n) + self.plain.length_bits(n))
-        kind, bits = np.empty(len(o), np.int64), np.empty(len(o))
-        kind[o] = each.argmax(0)
-        bits[o] = each.max(0) - plain
-        return kind, bits
-
-    def inner_scores(self, data: np.ndarray, start: np.ndarray, end: np.ndarray):
-        """The same as scores, for candidates many of which have one start."""
+    def bits(self, symbols: np.ndarray, start: np.ndarray, end: np.ndarray):
+        """(kind index, bits of the best kind, bits of the best plain kind) of strings, many of which may have one start."""
+        kind, lead, rest = np.zeros(len(start), np.int64), np.full(len(start), -np.inf), np.full(len(start), -np.inf)
         if not len(start):
-            return np.zeros(0, np.int64), np.zeros(0)
-        symbols = _SYMBOL[data]
+            return kind, lead, rest
         begin, who = np.unique(start, return_inverse=True)
         reach = np.zeros(len(begin), np.int64)
         np.maximum.at(reach, who, end - start)
@@ -275,28 +271,88 @@ class Formats:
         o = np.argsort(end - start, kind="stable")
         s, n = start[o], (end - start)[o]
         args = symbols, begin[down], reach[down], place[who[o]], n
-        best, lead = np.zeros(len(o), np.int64), np.full(len(o), -np.inf)
+        best, most = np.zeros(len(o), np.int64), np.full(len(o), -np.inf)
         for k, a in enumerate(self.automata):
             x = a.prefix_bits(*args)
-            best[x > lead] = k
-            lead = np.maximum(lead, x)
-        plain = np.maximum(self.plain.prefix_bits(*args), _run_bits(symbols, s, n) + self.plain.length_bits(n))
-        kind, bits = np.empty(len(o), np.int64), np.empty(len(o))
-        kind[o], bits[o] = best, lead - plain
-        return kind, bits
+            best[x > most] = k
+            most = np.maximum(most, x)
+        # words that no labelled string is like are still runs of small letters, digits and so on
+        plain = _run_bits(symbols, s, n) + self.plain[0].length_bits(n)
+        marks = np.r_[0, np.cumsum(_CLASS[np.maximum(symbols, 0)] == 3)]
+        bare = marks[s + n] == marks[s]
+        for a, marked in zip(self.plain, self.marked):
+            x = a.prefix_bits(*args)
+            plain = np.maximum(plain, np.where(bare & marked, -np.inf, x))
+        kind[o], lead[o], rest[o] = best, most, plain
+        return kind, lead, rest
+
+    def scores(self, data: np.ndarray, start: np.ndarray, end: np.ndarray):
+        """(kind index, bits over plain text) of strings data[start:end]."""
+        kind, lead, plain = self.bits(_SYMBOL[data], start, end)
+        return kind, lead - plain
+
+    def glued(self, symbols: np.ndarray, start: np.ndarray, end: np.ndarray):
+        """(run, start, end) of strings anywhere in runs that begin as a format surely does, in its labelled lengths."""
+        size = np.maximum(end - start - MIN_LENGTH + 1, 0)
+        run = np.repeat(np.arange(len(start)), size)
+        at = np.arange(len(run)) - np.repeat(np.cumsum(size) - size, size) + start[run]
+        out = []
+        for a in self.automata:
+            i, state, bits = np.arange(len(at)), np.zeros(len(at), np.int32), np.zeros(len(at))
+            for k in range(SURE):
+                c = symbols[at[i] + k]
+                bits = bits + a.bits[state, c]
+                on = np.flatnonzero(bits >= SURE_BITS)
+                i, state, bits = i[on], a.next[state[on], c[on]], bits[on]
+            for n in np.flatnonzero(a.length > 0):
+                j = i[at[i] + n <= end[run[i]]]
+                out.append((run[j], at[j], at[j] + n))
+        return tuple(np.concatenate([o[k] for o in out]) for k in range(3))
+
+    def strings(self, data: np.ndarray, start: np.ndarray, end: np.ndarray):
+        """(run, start, end) of all candidates of the runs data[start:end]: whole, between marks, and glued; each once."""
+        some = np.flatnonzero(end - start <= self.longest)
+        parts = [(some, start[some], end[some]), inside(data, start, end, MIN_LENGTH, self.longest), self.glued(_SYMBOL[data], start, end)]
+        r, a, b = (np.concatenate([p[i] for p in parts]) for i in range(3))
+        o = np.lexsort((b, a))
+        r, a, b = r[o], a[o], b[o]
+        new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])] if len(a) else np.zeros(0, bool)
+        return r[new], a[new], b[new]
 
     def found(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, threshold: float):
-        """(run, start, end, kind index, bits) of the best strings of the runs data[start:end], whole or inside, that reach ``threshold``."""
-        run, s, e = np.arange(len(start)), start, end
-        kind, bits = self.scores(data, start, end)
-        r, a, b = inside(data, start, end)
-        k, x = self.inner_scores(data, a, b)
-        run, s, e, kind, bits = np.r_[run, r], np.r_[s, a], np.r_[e, b], np.r_[kind, k], np.r_[bits, x]
+        """(run, start, end, kind index, bits) of the best strings of the runs data[start:end] that reach ``threshold``."""
+        symbols = _SYMBOL[data]
+        run, s, e = self.strings(data, start, end)
+        parts = [self.bits(symbols, s[i : i + BLOCK], e[i : i + BLOCK]) for i in range(0, len(s), BLOCK)] or [self.bits(symbols, s, e)]
+        kind, lead, plain = (np.concatenate([p[i] for p in parts]) for i in range(3))
+        bits = lead - plain
+        # a string inside a run must also beat the run as one plain string
+        whole = np.full(len(start), -np.inf)
+        at = np.flatnonzero((s == start[run]) & (e == end[run]))
+        whole[run[at]] = plain[at]
+        step, change = _steps(symbols)
+        a, b = start[run], end[run]
+        before = np.where(s > a, step[s] - step[a] - change[a] + math.log2(1 - SWITCH), 0)
+        around = before + step[b] - step[e] - np.log2(b - a)
+        inner = np.flatnonzero((s > a) | (e < b))
+        bits[inner] = np.minimum(bits, lead + around - whole[run])[inner]
         on = np.flatnonzero(bits >= threshold)
         on = on[best_inside(run[on], s[on], e[on], bits[on])]
         return run[on], s[on], e[on], kind[on], bits[on]
 
 
+def with_key_headers(data: np.ndarray) -> np.ndarray:
+    """The bytes with the blanks inside ``-----BEGIN ...-----`` written as underscores, so that such a line is one run."""
+    raw = data.tobytes()
+    out = data
+    for m in re.finditer(rb"-----BEGIN [A-Z ]{1,40}-----", raw):
+        if out is data:
+            out = data.copy()
+        part = out[m.start() : m.end()]
+        part[part == 32] = 95
+    return out
+
+
 def candidates(data: np.ndarray, offs: np.ndarray, min_length: int = MIN_LENGTH):
     """(row, start, end) of all maximal runs of credential characters of at least ``min_length`` bytes."""
     if not len(data):
@@ -309,7 +365,7 @@ def candidates(data: np.ndarray, offs: np.ndarray, min_length: int = MIN_LENGTH)
     return np.searchsorted(offs, s, "right") - 1, s, e
 
 
-def inside(data: np.ndarray, start: np.ndarray, end: np.ndarray, min_length: int = MIN_LENGTH, longest: int = INSIDE):
+def inside(data: np.ndarray, start: np.ndarray, end: np.ndarray, min_length: int, longest: int):
     """(run, start, end) of the strings inside runs that begin or end at a mark.
 
     A string begins with its run or after a mark, and ends with its run or before a
@@ -367,13 +423,20 @@ def trained(labelled: list[tuple[str, str]] | None = None, alpha: float = ALPHA)
 def secrets(docs: DataFrame, formats: Formats | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, kind, start_byte, n_bytes, score): strings that look like credentials.
 
-    Every run of at least 16 letters, digits and ``_+/-`` is scored by the automaton
-    of each kind, and so is every string of 16 to 4096 bytes inside it that begins
-    or ends at one of the four marks; of strings that overlap the best returns.  score is the lead in bits of the best kind over plain strings,
-    and rows of at least ``threshold`` return.  The secret itself does not.
+    Candidates are runs of letters, digits and ``_+/-.=``, the strings inside a run
+    that begin and end at its ends or at one of those marks, and strings anywhere in
+    it that begin as a format surely does and have one of its labelled lengths.  They
+    have at least ``MIN_LENGTH`` bytes, as no labelled credential is shorter, and at most
+    ``LONGER`` times the bytes of the longest; a longer run is judged by the strings inside.
+    Lines of the form ``-----BEGIN ...-----`` count as one run.  Each candidate is
+    scored by the automaton of each kind.  score is the lead in bits of the best kind
+    over plain strings, and for a string inside a run also over the whole run as a
+    plain string, whichever is less.  Rows of at least ``threshold`` return, of
+    strings that overlap the best one; the secret itself does not return.
 
     Rows with a null doc_id are left out; null and empty texts have no candidates;
-    repeated rows give their rows once; ties between kinds go to the first by name.
+    long texts and long runs are scanned whole; repeated rows give their rows once;
+    ties between kinds go to the first by name, between strings to the longer, then the first.
     An empty table gives an empty result; other columns are ignored.
     """
     held = sent(docs.sparkSession, formats or trained())
@@ -384,7 +447,7 @@ def secrets(docs: DataFrame, formats: Formats | None = None, threshold: float =
         for batch in batches:
             data, offs = K.buffer(batch.column(1))
             for lo, hi in K.pieces(offs):
-                own, part = data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]
+                own, part = with_key_headers(data[offs[lo] : offs[hi]]), offs[lo : hi + 1] - offs[lo]
                 row, s, e = candidates(own, part)
                 if not len(row):
                     continue
