@@ -75,22 +75,29 @@ class Index:
         self.length = dict(zip(item[start].tolist(), size[o][start].tolist()))
         k = np.argsort(hashes, kind="stable")
         self.hashes, self.items, self.first = hashes[k], item[k], first[k]
+        lead = self.first
+        self.lead_hashes, self.lead_items = self.hashes[lead], self.items[lead]
         self.hint = None
 
     def __getstate__(self):
         return {**self.__dict__, "hint": None}
 
-    def lookup(self, g: np.ndarray):
-        """(index into g, entry) of every pair of a document shingle and an entry of equal hash."""
+    def lookup(self, g: np.ndarray, hashes: np.ndarray):
+        """(index into g, entry) of every pair of a document shingle and an entry of equal hash in ``hashes``."""
+        a, b = np.searchsorted(hashes, g), np.searchsorted(hashes, g, "right")
+        n = b - a
+        return np.repeat(np.arange(len(g)), n), np.repeat(a - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+
+    def candidates(self, row: np.ndarray, g: np.ndarray):
+        """(rows, pairs row x items + item, ascending) that share a prefix shingle; nothing else can match."""
         low = np.uint64((1 << 22) - 1)
         if self.hint is None:
             self.hint = np.zeros(1 << 22, bool)
-            self.hint[(self.hashes & low).astype(np.int64)] = True
+            self.hint[(self.lead_hashes & low).astype(np.int64)] = True
         maybe = np.flatnonzero(self.hint[(g & low).astype(np.int64)])
-        a, b = np.searchsorted(self.hashes, g[maybe]), np.searchsorted(self.hashes, g[maybe], "right")
-        n = b - a
-        who = np.repeat(maybe, n)
-        return who, np.repeat(a - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        who, entry = self.lookup(g[maybe], self.lead_hashes)
+        pair = np.unique(row[maybe[who]].astype(np.int64) * len(self.total) + self.lead_items[entry])
+        return np.unique(pair // max(len(self.total), 1)), pair
 
 
 def best_window(place: np.ndarray, code: np.ndarray, anchors: np.ndarray, width: int, need: int) -> int:
@@ -120,31 +127,41 @@ def best_window(place: np.ndarray, code: np.ndarray, anchors: np.ndarray, width:
 
 def _verified(index: Index, row, place, g):
     """(row, item, shared) of the contained items among all shingles of some documents."""
-    who, entry = index.lookup(g)
-    if not len(who):
+    # prefix filter: only pairs that meet in a prefix shingle are looked up in full
+    rows, pairs = index.candidates(row, g)
+    if not len(pairs):
         return []
+    on = np.flatnonzero(np.isin(row, rows))
+    row, place, g = row[on], place[on], g[on]
+    who, entry = index.lookup(g, index.hashes)
+    pair = row[who].astype(np.int64) * len(index.total) + index.items[entry]
+    met = pairs[np.minimum(np.searchsorted(pairs, pair), len(pairs) - 1)] == pair
+    who, entry = who[met], entry[met]
     r, item, p, h, lead = row[who], index.items[entry], place[who], index.hashes[entry], index.first[entry]
     o = np.lexsort((p, item, r))
     r, item, p, h, lead = r[o], item[o], p[o], h[o], lead[o]
     start = np.flatnonzero(np.r_[True, (r[1:] != r[:-1]) | (item[1:] != item[:-1])])
     stop = np.r_[start[1:], len(r)]
-    # length bound: fewer hits than needed, or none of them in the prefix, rules the pair out
-    leads = np.add.reduceat(lead.astype(np.int64), start)
+    # length bound: fewer hits than needed rule the pair out
     out = []
-    for k in np.flatnonzero(leads > 0).tolist():
+    for k in range(len(start)):
         a, b = start[k], stop[k]
         i = int(item[a])
         need = index.need[i]
         if b - a < need:
             continue
         width = index.span[i] - index.length[i] + 1
-        got = best_window(p[a:b], h[a:b], p[a:b][lead[a:b]], width, need)
+        # positional bound: only hits less than a window away from a prefix shingle count
+        q, c, leads = p[a:b], h[a:b], p[a:b][lead[a:b]]
+        j = np.searchsorted(leads, q)
+        near = (leads[np.minimum(j, len(leads) - 1)] - q < width) & (j < len(leads)) | (q - leads[np.maximum(j - 1, 0)] < width) & (j > 0)
+        got = best_window(q[near], c[near], leads, width, need)
         if got:
             out.append((int(r[a]), i, got))
     return out
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, containment: float = CONTAINMENT, n: int = SHINGLE, max_sent: int = MAX_SENT) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, containment: float = CONTAINMENT, n: int = SHINGLE, max_sent: int = MAX_SENT, min_words: int = 1) -> DataFrame:
     """(doc_id, item_id, containment): items that a window of a document holds.
 
     Words are runs of letters and digits with ASCII case folded.  A window has as
@@ -155,9 +172,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, containment: float = CON
 
     One row for each pair with distinct doc_id and item_id.  Null identifiers and
     null, empty or wordless texts on either side match nothing.  An item with
-    fewer than ``n`` words is one shingle of all its words.  Rows that repeat an
-    identifier are judged each for itself and the best counts.  Empty tables on
-    either side give an empty result; other columns are ignored.
+    fewer than ``n`` words is one shingle of all its words, so that an item of one
+    word is found in every document with that word; ``min_words`` leaves out shorter
+    items.  Rows that repeat an identifier are judged each for itself and the best
+    counts.  Long texts count whole; ties in rarity go by hash.  Empty tables on
+    either side give an empty result; other columns are ignored, whatever their names.
     """
     if not 0 < containment <= 1:
         raise ValueError("containment must be in (0, 1]")
@@ -168,6 +187,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, containment: float = CON
     def split(batches):
         for batch in batches:
             r, k, w, g = item_shingles(batch.column(1), n)
+            on = w >= min_words
+            r, k, w, g = r[on], k[on], w[on], g[on]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(r)), batch.column(2).take(pa.array(r)), pa.array(k.astype(np.int32)), pa.array(w.astype(np.int32)), K.long_column(g)], ["item_id", "copy", "size", "words", "hash"])
 
     entries = written(items.withColumn("copy", F.xxhash64("text")).mapInArrow(split, "item_id long, copy long, size int, words int, hash long"), "items")
@@ -242,7 +263,8 @@ def _by_join(texts, entries, sizes, containment):
     ranked = written(ranked.select("item_id", "copy", "size", "words", "hash", "total", need.alias("need"), (F.col("rank") <= F.col("total") - need + 1).alias("lead")), "ranked")
     pair = ["doc_id", "body", "item_id", "copy"]
     candidates = hits.join(ranked.where("lead").select("hash", "item_id", "copy"), "hash").select(*pair).distinct()
-    both = hits.join(ranked, "hash").join(candidates, pair, "left_semi")
+    # only documents and items that meet in a prefix shingle are joined in full
+    both = hits.join(candidates, ["doc_id", "body"]).join(ranked, ["hash", "item_id", "copy"])
     grouped = both.groupBy(*pair, "total", "need", (F.col("words") - F.col("size") + 1).alias("width")).agg(F.sort_array(F.collect_list(F.struct("place", "hash", "lead"))).alias("hits")).where(F.size("hits") >= F.col("need"))
 
     def verify(batches):

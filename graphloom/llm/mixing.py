@@ -20,6 +20,8 @@ RIDGE = 1e-9
 TOLERANCE = 1e-7
 MAX_STEPS = 60
 SEED = 17
+#: Bytes of copies that leave a worker at once.
+ROOM = 64 << 20
 
 
 def count_words(texts: pa.Array) -> np.ndarray:
@@ -78,8 +80,9 @@ def solve(cells: DataFrame, dims: list[str], targets: dict | None = None, temper
     exp(multipliers of the document's values + slope x (log length - mean)).
 
     Only the slope enters a distributed sum: for each cell of values the workers
-    return the tilted token mass and its first two moments, so the driver holds
-    values, never documents, and a step costs one aggregation.
+    return the tilted token mass and its first two moments, so the driver holds a
+    few numbers for each combination of values that occurs, never documents, and a
+    step costs one aggregation.
     """
     log_len = F.log1p(F.col("tokens").cast("double"))
     mass = F.col("tokens").cast("double") * F.col("docs")
@@ -108,29 +111,54 @@ def solve(cells: DataFrame, dims: list[str], targets: dict | None = None, temper
     spots = np.array([[offset[i] + place[i][k[i]] for i in range(len(dims))] for k in keys], int).reshape(len(keys), len(dims))
 
     def sums(lam, got):
+        """Value, gradient and tilted moments of each cell."""
         m = np.array([got[k] for k in keys])
         e = np.exp(np.clip(lam[spots].sum(1), -50, 50))[:, None] * m
         grad = np.zeros(size)
         for j in range(len(dims)):
-            np.add.at(grad, spots[:, j], e[:, 0])
-        hess = np.zeros((size, size))
-        for a in range(len(dims)):
-            for b in range(len(dims)):
-                np.add.at(hess, (spots[:, a], spots[:, b]), e[:, 0])
-            np.add.at(hess, (spots[:, a], size - 1), e[:, 1])
-            np.add.at(hess, (size - 1, spots[:, a]), e[:, 1])
-        hess[-1, -1] = e[:, 2].sum()
-        grad[-1] = e[:, 1].sum()
-        if not keep_length:
-            grad[-1] = hess[-1, :] = hess[:, -1] = 0.0
+            grad += np.bincount(spots[:, j], e[:, 0], size)
+        if keep_length:
+            grad[-1] = e[:, 1].sum()
+        else:
+            e[:, 1:] = 0.0
         value = e[:, 0].sum() - lam @ want + RIDGE / 2 * lam @ lam
-        return value, grad - want + RIDGE * lam, hess + RIDGE * np.eye(size)
+        return value, grad - want + RIDGE * lam, e
+
+    def times(e, x):
+        """The second derivatives times a vector, from the cells; no matrix is made."""
+        along = x[spots].sum(1)
+        pull = e[:, 0] * along + e[:, 1] * x[-1]
+        out = RIDGE * x
+        for j in range(len(dims)):
+            out += np.bincount(spots[:, j], pull, size)
+        out[-1] += e[:, 1] @ along + e[:, 2].sum() * x[-1]
+        return out
+
+    def newton(grad, e):
+        """Step of Newton's method by conjugate gradients."""
+        diagonal = np.full(size, RIDGE)
+        for j in range(len(dims)):
+            diagonal += np.bincount(spots[:, j], e[:, 0], size)
+        diagonal[-1] += e[:, 2].sum()
+        x, r = np.zeros(size), -grad
+        z = r / diagonal
+        p, rz = z, r @ z
+        for _ in range(4 * size + 50):
+            if np.abs(r).max() <= 1e-3 * TOLERANCE or rz <= 0:
+                break
+            q = times(e, p)
+            step = rz / (p @ q)
+            x, r = x + step * p, r - step * q
+            z = r / diagonal
+            rz, old = r @ z, rz
+            p = z + rz / old * p
+        return x
 
     lam = np.zeros(size)
-    value, grad, hess = sums(lam, now)
+    value, grad, cell = sums(lam, now)
     steps = 0
     while steps < MAX_STEPS and np.abs(grad).max() > TOLERANCE:
-        move = -np.linalg.lstsq(hess, grad, rcond=1e-13)[0]
+        move = newton(grad, cell)
         move *= min(1.0, 3.0 / max(np.abs(move).max(), 1e-300))
         scale = 1.0
         while True:
@@ -142,9 +170,9 @@ def solve(cells: DataFrame, dims: list[str], targets: dict | None = None, temper
             scale /= 2
         steps += 1
         if scale < 1e-6 or value - v <= 1e-15 * max(1.0, abs(value)):
-            lam, now, value, grad, hess = (trial, got, v, g, h) if v <= value else (lam, now, value, grad, hess)
+            lam, now, value, grad, cell = (trial, got, v, g, h) if v <= value else (lam, now, value, grad, cell)
             break
-        lam, now, value, grad, hess = trial, got, v, g, h
+        lam, now, value, grad, cell = trial, got, v, g, h
     tables = [{v: float(lam[offset[i] + place[i][v]]) for v in values[i]} for i in range(len(dims))]
     return Balance(tables, float(lam[-1]), centre, steps, float(np.abs(grad).max()))
 
@@ -157,6 +185,10 @@ def _counted(texts, batch_tokens, measure, tokenizer, folder):
     return np.maximum(np.nan_to_num(batch_tokens.to_numpy(zero_copy_only=False).astype(float)), 0).astype(np.int64)
 
 
+def _sizes(texts: pa.Array) -> np.ndarray:
+    return np.diff(K.buffer(texts.cast(pa.string()))[1])
+
+
 def _unit(ids: pa.Array, seed: int) -> np.ndarray:
     """A number in [0, 1) that depends on the identifier (0 for null) and the seed."""
     x = np.asarray(ids.fill_null(0).to_numpy(zero_copy_only=False), np.int64).view(np.uint64)
@@ -242,8 +274,12 @@ def mixed(docs: DataFrame, dimensions=DIMENSIONS, targets: dict | None = None, t
         for batch in batches:
             _, _, c = rate(batch, at)
             take = np.repeat(np.arange(batch.num_rows), c)
-            for lo in range(0, len(take), 4096):
-                some = pa.array(take[lo : lo + 4096])
+            # copies of long rows leave in batches of bounded size
+            room = np.cumsum(batch.nbytes // max(batch.num_rows, 1) + _sizes(batch.column(at["text"]))[take])
+            while len(take):
+                n = max(1, min(4096, int(np.searchsorted(room, ROOM, "right"))))
+                some = pa.array(take[:n])
                 yield pa.RecordBatch.from_arrays([x.take(some) for x in batch.columns], names)
+                take, room = take[n:], room[n:] - room[n - 1]
 
     return docs.mapInArrow(repeat, docs.schema)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import classifier, decontaminate, licences, line_quality, mixing, neardup, repeats, secrets, token_bin, token_counts
+from . import classifier, decontaminate, licences, line_quality, mixing, neardup, repeats, secrets, shared, token_bin, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,7 +16,8 @@ def op3_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.token_counts(_table(spark, sf_dir, "documents"))
+    """Counts through a cache that stays in the shared folder: a later run encodes only what is new."""
+    return token_counts.token_counts(_table(spark, sf_dir, "documents"), f"{shared.shared_dir(spark)}/token-cache")
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

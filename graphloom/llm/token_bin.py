@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 
@@ -43,12 +44,12 @@ def write_tokens(docs: DataFrame, out: str | None = None, tokenizer: str = tok.D
     each of its documents and, last, of its end.  A shard's base is the prefix sum
     of the tokens of the shards before it.  One row for each input row:
     (doc_id, shard, row, start, n_tokens, crc32), start being the global offset and
-    crc32 that of the ids' bytes.  Files go to ``out``, by default a new folder in
-    the shared one.
+    crc32 that of the ids' bytes.  ``format.json`` has the type of the ids.  Files go
+    to ``out``, by default a new folder in the shared one.
 
     A null doc_id stays null; null and empty texts have zero tokens; repeated rows
-    are written as often as they come; an empty table has no shards and an empty
-    index.  Other columns are ignored.
+    are written as often as they come; long texts are encoded whole; an empty table
+    has no shards and an empty index.  Other columns are ignored, whatever their names.
     """
     spark = docs.sparkSession
     out = (out or fresh_path(spark, "tokens")).rstrip("/")
@@ -94,6 +95,8 @@ def write_tokens(docs: DataFrame, out: str | None = None, tokenizer: str = tok.D
             _put(f"{out}/tokens-{shard:05d}.bin", ids())
         yield from index
 
+    kind = np.dtype(tok.chunks(tokenizer, folder).wide).newbyteorder("<")
+    _put(f"{out}/format.json", [json.dumps({"dtype": kind.str, "tokenizer": tokenizer, "version": tok.digest_of(tokenizer, folder)}).encode()])
     path = f"{out}/index-local"
     texts.mapInArrow(encode, _INDEX).write.option("compression", "zstd").parquet(path)
     local = spark.read.schema(_INDEX).parquet(path)
@@ -119,14 +122,19 @@ def write_tokens(docs: DataFrame, out: str | None = None, tokenizer: str = tok.D
 
 
 class TokenFiles:
-    """Memory-mapped reader of a folder of token files: document k by its place, in order of shards."""
+    """Memory-mapped reader of a folder of token files: document k by its place, in order of shards.
 
-    def __init__(self, folder: str, dtype=np.uint16):
+    The width of the ids is read from ``format.json``.
+    """
+
+    def __init__(self, folder: str):
         folder = folder.removeprefix("file://")
+        with open(os.path.join(folder, "format.json")) as f:
+            dtype = np.dtype(json.load(f)["dtype"])
         names = sorted(n for n in os.listdir(folder) if n.startswith("tokens-") and n.endswith(".bin"))
         self.offsets = [np.memmap(os.path.join(folder, n.replace("tokens", "offsets")), "<u8", "r") for n in names]
         size = np.dtype(dtype).itemsize
-        self.tokens = [np.memmap(p, np.dtype(dtype).newbyteorder("<"), "r") if os.path.getsize(p) >= size else np.zeros(0, dtype) for p in (os.path.join(folder, n) for n in names)]
+        self.tokens = [np.memmap(p, dtype, "r") if os.path.getsize(p) >= size else np.zeros(0, dtype) for p in (os.path.join(folder, n) for n in names)]
         self.first = np.cumsum([0] + [len(o) - 1 for o in self.offsets])
 
     def __len__(self):

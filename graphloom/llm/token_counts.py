@@ -16,6 +16,8 @@ from . import tokenizers as tok
 from .shared import fresh_path, written
 
 _ENTRY = "digest binary, n_tokens long"
+#: Digests (16 bytes each) sent to every executor so that only the texts to encode are shuffled; beyond it they are joined.
+MAX_SENT = 2_000_000
 
 
 def normalised(texts: pa.Array) -> pa.Array:
@@ -62,7 +64,7 @@ def _append(counts: DataFrame, cache: str, version: str) -> None:
         raise OSError(f"cannot move {aside} into {home}")
 
 
-def token_counts(docs: DataFrame, cache: str | None = None, tokenizer: str = tok.DEFAULT, folder: str = tok.TOKENIZER_DIR) -> DataFrame:
+def token_counts(docs: DataFrame, cache: str | None = None, tokenizer: str = tok.DEFAULT, folder: str = tok.TOKENIZER_DIR, max_sent: int = MAX_SENT) -> DataFrame:
     """(doc_id, digest, n_tokens, cached) of every row of ``docs`` (doc_id, text, ...).
 
     n_tokens counts the tokens of the normalised text (:func:`normalised`).  Counts
@@ -74,8 +76,9 @@ def token_counts(docs: DataFrame, cache: str | None = None, tokenizer: str = tok
 
     A null text has no digest, 0 tokens and cached = false; an empty or blank one is
     the empty text with 0 tokens.  A null doc_id stays null.  Repeated rows stay
-    rows and share one encoding.  An empty table gives an empty result and appends
-    an empty batch; other columns are ignored.
+    rows and share one encoding; long texts are encoded whole.  An empty table gives
+    an empty result and appends an empty batch; other columns are ignored, whatever
+    their names.
     """
     spark = docs.sparkSession
     cache = cache or fresh_path(spark, "token-cache")
@@ -117,10 +120,20 @@ def token_counts(docs: DataFrame, cache: str | None = None, tokenizer: str = tok
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array(np.concatenate(n))], ["digest", "n_tokens"])
 
     keys = written(texts.mapInArrow(identify, "doc_id long, digest binary"), "digests")
-    before = written(stored(spark, cache, version).select("digest").join(keys.select("digest"), "digest", "left_semi"), "hits")
+    wanted = keys.select("digest").where("digest is not null").distinct()
+    before = written(stored(spark, cache, version).select("digest").join(wanted, "digest", "left_semi"), "hits")
+    missed = written(wanted.join(before, "digest", "left_anti"), "misses")
+    n_before, n_missed = before.count(), missed.count()
     contents = texts.where("text is not null").select("text").mapInArrow(distinct, "digest binary, text string")
-    misses = contents.repartition("digest").join(before.hint("shuffle_hash"), "digest", "left_anti")
-    _append(misses.mapInArrow(encode, _ENTRY), cache, version)
+    # digests meet first: texts whose count is stored are not shuffled
+    if n_before and n_missed <= max_sent:
+        contents = contents.join(F.broadcast(missed), "digest", "left_semi")
+    elif n_before and n_before <= max_sent:
+        contents = contents.join(F.broadcast(before), "digest", "left_anti")
+    elif n_before:
+        contents = contents.join(missed.hint("shuffle_hash"), "digest", "left_semi")
+    if n_missed or not n_before:
+        _append(contents.repartition("digest").mapInArrow(encode, _ENTRY), cache, version)
     after = stored(spark, cache, version)
     known = before.select("digest", F.lit(True).alias("cached"))
     out = keys.join(after, "digest", "left").join(known, "digest", "left")

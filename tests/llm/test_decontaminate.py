@@ -48,3 +48,10 @@ def test_windows_are_item_sized():
     assert D.best_window(place, code, np.array([10]), 3, 2) == 2
     assert D.best_window(place, code, np.array([0]), 12, 4) == 4
     assert D.best_window(place, code, np.array([0]), 3, 3) == 0
+
+
+def test_short_items_can_be_left_out(spark):
+    items = spark.createDataFrame([(1, "paris"), (2, "one two three four five six seven")], ITEMS)
+    docs = documents(spark, [(1, "in Paris"), (2, "one two three four five six seven in paris")])
+    assert {(r.doc_id, r.item_id) for r in D.contaminated(docs, items).collect()} == {(1, 1), (2, 1), (2, 2)}
+    assert {(r.doc_id, r.item_id) for r in D.contaminated(docs, items, min_words=3).collect()} == {(2, 2)}
