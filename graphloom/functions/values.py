@@ -153,6 +153,15 @@ def _not_nan(v: Value) -> Column | None:
     return ~F.isnan(v.col.cast("double")) if v.tag == "number" and not v.literal else None
 
 
+#: Where a comparison keeps a condition that is true for the same rows and that a scan understands.
+_KEEPS = "_loom_keeps"
+
+
+def keeping(cond: Column) -> Column:
+    """A condition for rows to stay: unlike the value it may be null instead of false, and reaches the scan."""
+    return cond.__dict__.get(_KEEPS, cond)
+
+
 def equal(a: Value, b: Value) -> Column:
     """Strict equality of expressions: no coercion; missing equals missing, null equals null; NaN equals nothing."""
     simple = {a.tag, b.tag} <= set(SQL_TYPE)
@@ -168,7 +177,11 @@ def equal(a: Value, b: Value) -> Column:
         else:
             out = F.coalesce(a.col == b.col, F.lit(False))
         guard = _not_nan(a)
-        return out & F.coalesce(guard, F.lit(True)) if guard is not None and not b.literal else out
+        if guard is not None and not b.literal:
+            return out & F.coalesce(guard, F.lit(True))
+        if a.literal or b.literal:
+            out.__dict__[_KEEPS] = a.col == b.col
+        return out
     if simple:
         if a.literal or b.literal or a.null_is != b.null_is:
             return F.lit(False)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import replace
+from itertools import islice
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -111,7 +112,7 @@ class Query:
     # -- the operators ----------------------------------------------------
     def filter(self, test: Callable[[RowView], Column] | Column, label: str = "") -> Query:
         cond = test(self.view) if callable(test) and not isinstance(test, Column) else test
-        return self._next("filter", self.df.where(cond), details={"label": label} if label else {})
+        return self._next("filter", self.df.where(V.keeping(cond)), details={"label": label} if label else {})
 
     def project(self, make: Callable[[RowView], object], label: str = "") -> Query:
         df, shape = bound(self.df, make(self.view))
@@ -381,9 +382,39 @@ def from_dataframe(df: DataFrame, order: list[str] | None = None, label: str = "
     return Query(out.withColumn(ORD, ord_), shape, PlanNode("source", "stable" if order else "unknown", {"label": label, **(details or {})}))
 
 
+class Deferred(Query):
+    """A source whose rows are made when they are first needed; ``take`` on it makes no more than it takes.
+
+    make(limit) gives the query of the first ``limit`` rows, or of all.
+    """
+
+    def __init__(self, make, plan: PlanNode, limit: int | None = None):
+        self._make, self.plan, self._limit, self._made = make, plan, limit, None
+
+    def _real(self) -> Query:
+        if self._made is None:
+            self._made = self._make(self._limit)
+        return self._made
+
+    df = property(lambda self: self._real().df)
+    shape = property(lambda self: self._real().shape)
+    captures = property(lambda self: self._real().captures)
+
+    def take(self, n: int) -> Query:
+        natural(n, "take")
+        limit = n if self._limit is None else min(n, self._limit)
+        return Deferred(self._make, PlanNode("take", self.ordering, {"count": n}, (self.plan,)), limit)
+
+
 def from_values(spark: SparkSession, values, ordering: str = "stable", label: str = "values", details: dict | None = None) -> Query:
-    """A query over Python scalars, in their order; a callable is called now, as Spark needs its rows to plan."""
-    items = list(values() if callable(values) else values)
+    """A query over Python scalars, in their order; a callable is called when rows are needed.
+
+    ``take`` right after it draws no further value, so that the source may be endless.
+    """
+    if callable(values):
+        plan = PlanNode("source", ordering, {"label": label, **(details or {})})
+        return Deferred(lambda limit: from_values(spark, list(islice(values(), limit)), ordering, label, details), plan)
+    items = list(values)
     tags = {V.tag_of(x) for x in items} or {"number"}
     name = fresh("value")
     if len(tags) == 1 and tags <= set(V.SQL_TYPE):

@@ -243,40 +243,45 @@ def q_flagship(spark, d):
     return rows.groupBy("region", "nation").agg(F.count("*").alias("customers"))
 
 
-# -- traversal on a graph without typed tables: supply chains as a cyclic edge list ----------
+# -- traversal on a graph without typed tables: orders as a cyclic edge list ----------
 
 
 def _edges(spark, d):
-    """Nations linked to the nation whose key is (3k + 1) modulo 25 and (k + 5) modulo 25: a graph with cycles."""
+    """Orders linked to the customer's next order, the last one to the first, and each to the first: a graph with cycles."""
+    from pyspark.sql import Window
     from pyspark.sql import types as T
 
     from .operators.shapes import Scalar
     from .schema import AdapterSchema, Edge, attr
     from .sources.graph import EdgeListGraph
 
-    n = spark.read.parquet(f"{d}/nation.parquet")
-    nodes = n.select(F.lit("net").alias("adapter"), F.lit("net").alias("resource"), F.col("n_nationkey").cast("string").alias("local"), F.lit("net::nation").alias("kind"), F.lit(None).cast("string").alias("uri"), F.lit(None).cast("string").alias("revision"), F.col("n_name").alias("@name"))
+    n = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", "o_custkey", "o_orderstatus")
+    nodes = n.select(F.lit("net").alias("adapter"), F.lit("net").alias("resource"), F.col("o_orderkey").cast("string").alias("local"), F.lit("net::order").alias("kind"), F.lit(None).cast("string").alias("uri"), F.lit(None).cast("string").alias("revision"), F.col("o_orderstatus").alias("@status"))
+    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    first = F.first("o_orderkey").over(w)
+    turns = n.select("o_orderkey", F.coalesce(F.lead("o_orderkey").over(w), first).alias("next"), first.alias("first"))
 
-    def link(name, role, target, pos):
-        return n.select(F.lit(name).alias("name"), F.lit(role).alias("role"), F.lit("net").alias("from_resource"), F.col("n_nationkey").cast("string").alias("from_local"), F.lit("net").alias("to_resource"), target.cast("string").alias("to_local"), F.lit(pos).cast(T.LongType()).alias("pos"))
+    def link(target, pos):
+        return turns.select(F.lit("net::leads").alias("name"), F.lit("child").alias("role"), F.lit("net").alias("from_resource"), F.col("o_orderkey").cast("string").alias("from_local"), F.lit("net").alias("to_resource"), F.col(target).cast("string").alias("to_local"), F.lit(pos).cast(T.LongType()).alias("pos"))
 
-    edges = link("net::ships", "child", (F.col("n_nationkey") * 3 + 1) % 25, 0).unionAll(link("net::ships", "child", (F.col("n_nationkey") + 5) % 25, 1))
-    schema = AdapterSchema("net", {"net::nation": {"name": attr("string")}}, {"net::ships": Edge("net::ships", "child", ("net::nation",), ("net::nation",))})
-    roots = n.where("n_nationkey < 5").select(F.lit("net").alias("resource"), F.col("n_nationkey").cast("string").alias("local"), F.col("n_nationkey").cast("long").alias("position"))
-    return EdgeListGraph(spark, schema, nodes, edges, roots, {"name": Scalar("", "string", False, "never")})
+    edges = link("next", 0).unionAll(link("first", 1))
+    schema = AdapterSchema("net", {"net::order": {"status": attr("string")}}, {"net::leads": Edge("net::leads", "child", ("net::order",), ("net::order",))})
+    roots = n.select(F.lit("net").alias("resource"), F.col("o_orderkey").cast("string").alias("local"), F.col("o_orderkey").cast("long").alias("position"))
+    return EdgeListGraph(spark, schema, nodes, edges, roots, {"status": Scalar("", "string", False, "never")})
 
 
-_NET = "e AS (SELECT n_nationkey AS a, (n_nationkey * 3 + 1) % 25 AS b, 0 AS p FROM nation UNION ALL SELECT n_nationkey, (n_nationkey + 5) % 25, 1 FROM nation)"
+_NET = """w AS (SELECT o_orderkey AS a, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n, first_value(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS f FROM orders),
+    e AS (SELECT a, coalesce(n, f) AS b FROM w UNION ALL SELECT a, f FROM w)"""
 
 
-@query(f"WITH {_NET}, t AS (SELECT n_nationkey AS root, a.b FROM nation JOIN e a ON a.a = n_nationkey WHERE n_nationkey < 5 UNION ALL SELECT n_nationkey, c.b FROM nation JOIN e a ON a.a = n_nationkey JOIN e c ON c.a = a.b WHERE n_nationkey < 5) SELECT CAST(root AS VARCHAR) AS root, CAST(b AS VARCHAR) AS node FROM t")
+@query(f"WITH {_NET}, t AS (SELECT a AS root, b FROM e UNION ALL SELECT x.a, y.b FROM e x JOIN e y ON y.a = x.b) SELECT CAST(root AS VARCHAR) AS root, CAST(b AS VARCHAR) AS node FROM t")
 def q_traverse_depth2(spark, d):
     q = _edges(spark, d).roots().capture("root").traverse(roles=["child"], max_depth=2)
     return q.dataframe(root=lambda r: r.capture("root").local.col, node=lambda r: r.local.col)
 
 
 @query(
-    f"""WITH RECURSIVE {_NET}, t AS (SELECT n_nationkey AS root, n_nationkey AS node, 0 AS depth FROM nation WHERE n_nationkey < 5
+    f"""WITH RECURSIVE {_NET}, t AS (SELECT o_orderkey AS root, o_orderkey AS node, 0 AS depth FROM orders
     UNION ALL SELECT t.root, e.b, depth + 1 FROM t JOIN e ON e.a = t.node WHERE depth < 4)
     SELECT CAST(root AS VARCHAR) AS root, CAST(node AS VARCHAR) AS node, count(*) AS paths FROM t GROUP BY 1, 2"""
 )
@@ -285,7 +290,7 @@ def q_traverse_cycle(spark, d):
     return q.dataframe(root=lambda r: r.capture("root").local.col, node=lambda r: r.local.col).groupBy("root", "node").agg(F.count("*").alias("paths"))
 
 
-@query(f"WITH {_NET} SELECT CAST(a AS VARCHAR) AS node, CAST(b AS VARCHAR) AS target FROM e WHERE b < 5")
+@query(f"WITH {_NET} SELECT CAST(a AS VARCHAR) AS node, CAST(b AS VARCHAR) AS target FROM e")
 def q_traverse_reverse(spark, d):
     q = _edges(spark, d).roots().capture("target").traverse(direction="reverse", max_depth=1)
     return q.dataframe(node=lambda r: r.local.col, target=lambda r: r.capture("target").local.col)
@@ -498,7 +503,7 @@ def q_sql_delete(spark, d):
 
 
 @query(
-    """WITH c AS (SELECT event_id AS id, user_id AS uri, CAST(value * 10 AS BIGINT) AS s, CAST(value * 10 AS BIGINT) + event_id % 3 AS e FROM events WHERE event_type = 'error')
+    """WITH c AS (SELECT event_id AS id, user_id AS uri, CAST(floor(value * 1000) AS BIGINT) AS s, CAST(floor(value * 1000) AS BIGINT) + event_id % 3 AS e FROM events)
     SELECT a.uri AS uri, a.id AS a, b.id AS b FROM c a JOIN c b ON a.uri = b.uri AND a.id < b.id AND CASE
     WHEN a.s = a.e AND b.s = b.e THEN a.s = b.s WHEN a.s = a.e THEN b.s < a.s AND a.s < b.e
     WHEN b.s = b.e THEN a.s < b.s AND b.s < a.e ELSE a.s < b.e AND b.s < a.e END"""
@@ -506,8 +511,63 @@ def q_sql_delete(spark, d):
 def q_conflicts(spark, d):
     from .change import conflicts
 
-    e = spark.read.parquet(f"{d}/events.parquet").where("event_type = 'error'")
-    start = F.round(F.col("value") * 10).cast("long")
+    e = spark.read.parquet(f"{d}/events.parquet")
+    start = F.floor(F.col("value") * 1000).cast("long")
     return conflicts(e.select(F.col("event_id").alias("id"), F.col("user_id").alias("uri"), start.alias("start"), (start + F.col("event_id") % 3).alias("end")))
 
 
+# -- more of the language, row identity and embedded documents ----------------------------------
+
+
+@query("SELECT o_orderkey AS k FROM orders WHERE o_orderstatus IS DISTINCT FROM 'F'")
+def q_pipeline_missing(spark, d):
+    return _program(spark, d, "from orders() | where @finished is missing | project { k: @o_orderkey }")
+
+
+@query("SELECT count(*) AS value FROM (SELECT DISTINCT c_mktsegment FROM customer)")
+def q_pipeline_distinct_count(spark, d):
+    q = P.compile_program("from customer()", _environment(spark, d)).query.project(lambda r: r["c_mktsegment"]).distinct().count()
+    return q.dataframe(value=lambda r: r.col)
+
+
+@query("SELECT count(*) AS value FROM lineitem WHERE l_quantity > 30")
+def q_pipeline_count(spark, d):
+    return _program(spark, d, "from lineitem() | where @l_quantity > 30 | count")
+
+
+@query("SELECT c_custkey AS customer, o_orderkey AS k, o_totalprice AS price FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_nationkey = 7")
+def q_pipeline_capture(spark, d):
+    return _program(spark, d, "from customer() | where @c_nationkey = 7 | select 'star::customer as $c > star::order' | project { customer: $c.c_custkey, k: @o_orderkey, price: @o_totalprice }")
+
+
+@query("SELECT p_partkey AS k, p_name AS info_name, p_size AS info_size FROM part WHERE p_size >= 40")
+def q_pipeline_record(spark, d):
+    return _program(spark, d, "from part() | where @p_size >= 40 | project { k: @p_partkey, info: { name: @p_name, size: @p_size } }")
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS k, c_name AS name FROM customer WHERE length(c_name) % 2 = 0 AND c_acctbal > 0")
+def q_sql_runtime(spark, d):
+    """A condition that only the engine can judge, after the one that the tables can."""
+    q = _tables(spark, d).rows(S.RowQuery(_C, ("c_custkey", "c_name"), S.Compare("c_acctbal", ">", 0)))
+    return q.filter(lambda r: F.length(r["c_name"].col) % 2 == 0).dataframe(k=lambda r: r["c_custkey"].col.cast("string"), name=lambda r: r["c_name"].col)
+
+
+@query("SELECT n, count(*) AS times FROM (SELECT event_id, 2 AS n FROM events WHERE props IS NOT NULL) GROUP BY n")
+def q_json_depth(spark, d):
+    """Depth of the one value in each small document, from the ranges of its tree."""
+    e = spark.read.parquet(f"{d}/events.parquet")
+    docs = e.select(F.col("event_id").cast("string").alias("resource"), F.col("event_id").cast("string").alias("uri"), F.lit(None).cast("string").alias("revision"), F.col("props").alias("text"))
+    q = select(D.documents(spark, docs, "json").roots(), "json::root > json::object > json::property > json::scalar")
+    return q.df.groupBy((F.col(q.shape.keys["depth"]) - 1).cast("int").alias("n")).agg(F.count("*").alias("times"))
+
+
+@query("SELECT doc_id AS k, 2 * doc_id AS twice FROM documents")
+def q_fence_mount(spark, d):
+    """A value in the fenced block of a text about each document: two mounts, one inside the other."""
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    ident = F.col("doc_id").cast("string")
+    text = F.concat(F.lit("# about\n\n```json\n{\"twice\": "), (F.col("doc_id") * 2).cast("string"), F.lit("}\n```\n\n```text\n{\"twice\": 0}\n```\n"))
+    q = D.documents(spark, docs.select(ident.alias("resource"), ident.alias("uri"), F.lit(None).cast("string").alias("revision"), text.alias("text")), "markdown").roots()
+    q = D.mount(q, "json", "content")
+    q = select(q, 'markdown::document > markdown::code-block > json::root > json::object > json::property[name = "twice"] > json::scalar')
+    return q.dataframe(k=lambda r: F.split(F.col(r.shape.cols["uri"]), "#")[0].cast("long"), twice=lambda r: r["value"].col["n"])

@@ -13,6 +13,7 @@ from ..operators.query import ORD, Query, then
 from ..operators.shapes import Scalar, fresh
 from ..plans.plan import PlanNode
 from ..schema import AdapterSchema, Edge, View, attr
+from ..scratch import stored
 from . import parsers as P
 from .graph import Graph, TreeGraph
 
@@ -129,13 +130,27 @@ def parsed(docs: DataFrame, language: str, view: str | None = None, on_error: st
 
 @dataclass
 class DocumentGraph(TreeGraph):
-    """Parsed documents; ``diagnostics`` are the faults found in them."""
+    """Parsed documents; ``diagnostics`` are the faults found in them.
+
+    A query that reads the nodes once parses as it reads.  The second use writes the
+    nodes to the shared folder; with ``keep`` the first one does, as below a mount,
+    where every step is a use.
+    """
 
     diagnostics: DataFrame | None = None
     text: DataFrame | None = None
+    keep: bool = False
+    _uses: list = field(default_factory=list)
+
+    def table(self):
+        if len(self._uses) < 2 and (self.keep or self._uses):
+            self.nodes = stored(self.nodes, "nodes")
+            self._uses[:] = [1, 1]
+        self._uses.append(1)
+        return super().table()
 
 
-def documents(spark: SparkSession, docs: DataFrame, language: str, view: str | None = None, on_error: str = "skip") -> DocumentGraph:
+def documents(spark: SparkSession, docs: DataFrame, language: str, view: str | None = None, on_error: str = "skip", keep: bool = False) -> DocumentGraph:
     """The graph of ``docs`` (resource, uri, revision, text); resources must be unique."""
     schema = SCHEMAS[language]
     if view is not None and view not in schema.views:
@@ -145,7 +160,7 @@ def documents(spark: SparkSession, docs: DataFrame, language: str, view: str | N
     rows = parsed(docs, language, view, on_error)
     nodes = rows.where("kind is not null").withColumn("adapter", F.lit(language))
     attrs = {a: Scalar("", None if t == "tagged" else t, False, "missing") for a, t in P.PARSERS[language][1].items()}
-    return DocumentGraph(spark, schema, nodes, attrs, view, diagnostics=rows.where("code is not null").select("uri", "code", "message"), text=docs)
+    return DocumentGraph(spark, schema, nodes, attrs, view, diagnostics=rows.where("code is not null").select("uri", "code", "message"), text=docs, keep=keep)
 
 
 def texts(spark: SparkSession, items: dict[str, str]) -> DataFrame:
@@ -156,10 +171,10 @@ def texts(spark: SparkSession, items: dict[str, str]) -> DataFrame:
     return spark.createDataFrame(rows, "resource string, uri string, revision string, text string")
 
 
-def below(q: Query, graph: TreeGraph, every: bool) -> Query:
+def below(q: Query, graph: TreeGraph, every: bool, holder) -> Query:
     """Nodes (all, or the root) of the document that each row holds, beside the row's captures."""
     carried = q.carried()
-    base = q.df.select(*carried, F.col(q.shape.cols["local"]).alias("_r"))
+    base = q.df.select(*carried, holder(q).alias("_r"))
     table, shape = graph.table()
     if not every:
         table = table.where(F.col(shape.keys["parent"]) < 0)
@@ -197,10 +212,32 @@ class MountedGraph(Graph):
             docs = self.docs
             if docs is None:
                 q = self.base.kind_query(self.container) if hasattr(self.base, "kind_query") else self.base.all()
-                docs = q.dataframe(resource=lambda r: r.local.col, uri=lambda r: F.col(r.shape.cols["uri"]), revision=lambda r: F.lit(None).cast("string"), text=lambda r: r[self.attribute].col)
-            self._made.append(documents(self.spark, docs, self.language, self.view, self.on_error))
+                if self.embedded:
+                    q = self.fences(q)
+                docs = q.dataframe(resource=lambda r: self.holder(q), uri=lambda r: F.col(r.shape.cols["uri"]), revision=lambda r: F.lit(None).cast("string"), text=lambda r: r[self.attribute].col)
+            if self.embedded:
+                docs = docs.withColumn("uri", F.concat_ws("#", "uri", F.element_at(F.split("resource", "#"), -1)))
+            self._made.append(documents(self.spark, docs, self.language, self.view, self.on_error, keep=True))
         return self._made[0]
 
+    @property
+    def embedded(self) -> bool:
+        """Documents lie in nodes of other documents, as fenced blocks do."""
+        return self.docs is None and isinstance(self.base, DocumentGraph)
+
+    def fences(self, q: Query) -> Query:
+        """The containers whose declared language, if they have one, is the mounted one."""
+        rows = q.df.where(q.shape.kind() == self.container)
+        declared = q.shape.attr("language")
+        if declared.tag != "missing":
+            rows = rows.where(declared.col == self.language)
+        return Query(rows, q.shape, q.plan, q.captures)
+
+    def holder(self, q: Query):
+        """Identifier of the document that a row holds."""
+        local = F.col(q.shape.cols["local"])
+        return F.concat_ws("#", F.col(q.shape.cols["resource"]), local) if self.embedded else local
+
     def mount_edge(self) -> str:
         return f"{self.language}::mount"
 
@@ -222,7 +259,7 @@ class MountedGraph(Graph):
 
     def across(self, q: Query, every: bool) -> Query:
         rows = q if q.shape.kind_name else Query(q.df.where(q.shape.kind() == self.container), q.shape, q.plan, q.captures)
-        return below(rows, self.graph(), every)
+        return below(self.fences(rows) if self.embedded else rows, self.graph(), every, self.holder)
 
     def step(self, q, names, direction="forward"):
         out = []
@@ -238,6 +275,14 @@ class MountedGraph(Graph):
 
     def descend(self, q, include_self, max_depth=None):
         """The row, then its document: their order keys have the same form, so they interleave as in a walk."""
+        if self.embedded:
+            inside = self.base.descend(self.inner(q), True, max_depth)
+            own = inside if include_self else self.base.descend(self.inner(q), False, max_depth)
+            held = self.across(self.outer(inside), True)
+            if max_depth is not None:
+                at, top = held.shape.keys["depth"], max_depth
+                held = Query(held.df.where(F.col(at) < top), held.shape, held.plan, held.captures)
+            return [self.outer(own), held]
         out = [Query(q.df.withColumn(ORD, then(F.lit(-1).cast("bigint"))), q.shape, q.plan, q.captures)] if include_self else []
         if self.holds(q):
             got = self.across(q, True)
@@ -267,7 +312,8 @@ def mount(q: Query, language: str, attribute: str, view: str | None = None, on_e
     ``docs`` gives the documents by the rows' local identifiers where they are no
     attribute (files are read from it, and only when a step crosses the mount).
     """
-    graph = MountedGraph(q.shape.graph, language, q.shape.kind_name or "fs::file", attribute, view, on_error, docs)
+    held = q.shape.kind_name or ("markdown::code-block" if isinstance(q.shape.graph, DocumentGraph) else "fs::file")
+    graph = MountedGraph(q.shape.graph, language, held, attribute, view, on_error, docs)
     plan = PlanNode("source", q.ordering, {**q.plan.details, "mount": f"{q.shape.graph.schema.namespace} -> {language}"}, q.plan.inputs) if q.plan.operator == "source" else q.plan
     return Query(q.df, replace(q.shape, graph=graph), plan, q.captures)
 

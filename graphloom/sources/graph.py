@@ -17,6 +17,7 @@ from ..operators.query import ORD, Query, then
 from ..operators.shapes import Node, Scalar, fresh
 from ..plans.plan import PlanNode
 from ..schema import AdapterSchema
+from ..scratch import stored
 
 #: Unrolled steps of a walk without a depth limit; a child graph deeper than this counts as cyclic.
 MAX_UNROLL = 200
@@ -69,6 +70,8 @@ def union(queries: list[Query]) -> Query:
 def unrolled(graph: Graph, q: Query, names, direction: str, max_depth: int, include_self: bool) -> Query:
     """All paths of up to ``max_depth`` edges, one join for each level; ends early where the schema or the data end.
 
+    In walks of more than two levels each level is written to the shared folder.
+
     The order key is the path of edge positions: arrays sort like a pre-order walk.
     """
     path = fresh("path")
@@ -83,10 +86,15 @@ def unrolled(graph: Graph, q: Query, names, direction: str, max_depth: int, incl
     depth = max_depth if bound is None else min(max_depth, bound)
     if depth > MAX_UNROLL:
         raise LoomError("query.unbounded-traversal", f"a walk of more than {MAX_UNROLL} steps")
-    for _ in range(depth):
+    for level in range(depth):
         now = graph.extend(now, names, direction, path)
         if now is None:
             break
+        if level and depth > 2:
+            # each level is made once, from the one before, and a walk that has ended goes no further
+            now = Query(stored(now.df, "level"), now.shape, now.plan, now.captures)
+            if now.df.isEmpty():
+                break
         levels.append(now)
     if not levels:
         out = start.df.where(F.lit(False))
