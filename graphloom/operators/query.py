@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from ..functions import values as V
 from ..functions.values import Value
 from ..plans.plan import PlanNode
-from .shapes import Absent, Grouped, Many, Node, Pair, Record, Scalar, fresh, infer, path_value, sub_shape
+from .shapes import PLACES, Absent, Grouped, Many, Node, Pair, Record, Scalar, fresh, infer, path_value, sub_shape
 
 ORD = "_ord"
 
@@ -304,7 +304,7 @@ def _read(shape, row):
         if part("uri") is not None:
             out["origin"] = {"uri": part("uri"), **({"revision": part("revision")} if part("revision") is not None else {})}
             if part("start") is not None:
-                out["origin"]["range"] = {"start": part("start"), "end": part("end")}
+                out["origin"]["range"] = {r: part(r) for r in PLACES if part(r) is not None}
         return out
     if isinstance(shape, Record):
         got = {k: _read(f, row) for k, f in shape.fields.items()}

@@ -50,7 +50,9 @@ class Absent:
         return self
 
 
-ROLES = ("adapter", "resource", "local", "kind", "uri", "revision", "start", "end")
+#: Where a node stands in its text, in UTF-16 units; lines and columns count from 0.
+PLACES = ("start", "end", "startLine", "startColumn", "endLine", "endColumn")
+ROLES = ("adapter", "resource", "local", "kind", "uri", "revision", *PLACES)
 
 
 @dataclass(frozen=True)
@@ -71,7 +73,7 @@ class Node:
         name = self.cols.get(role)
         if name is None:
             return MISSING
-        return native(F.col(name), "number" if role in ("start", "end") else "string", null_is="never" if role in ("adapter", "resource", "local", "kind") else "missing")
+        return native(F.col(name), "number" if role in PLACES else "string", null_is="never" if role in ("adapter", "resource", "local", "kind") else "missing")
 
     def kind(self) -> Column:
         return F.col(self.cols["kind"])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import values as V
 from ..operators.query import ORD, Query
-from ..operators.shapes import Node, Scalar, fresh
+from ..operators.shapes import PLACES, Node, Scalar, fresh
 from ..schema import AdapterSchema
 from ..sources.graph import RelationalGraph
 from . import selector_syntax as S
@@ -142,6 +142,11 @@ class Lowering:
             for x in plain:
                 either = either | x
             return Query(q.df.where(~either if p.name == "not" else either), q.shape, q.plan, q.captures)
+        inner, how = (p, "left_semi") if p.name == "has" else (self._only_has(q, p), "left_anti")
+        if inner is not None:
+            met = self._by_key(q, inner)
+            if met is not None:
+                return Query(q.df.join(*met, how), q.shape, q.plan, q.captures)
         row = fresh("row")
         marked = Query(q.df.withColumn(row, F.col(ORD)), q.shape, q.plan, q.captures)
         found = None
@@ -161,6 +166,42 @@ class Lowering:
         how = "left_anti" if p.name == "not" else "left_semi"
         return Query(q.df.join(found, F.col(ORD) == F.col("_match"), how), q.shape, q.plan, q.captures)
 
+    @staticmethod
+    def _only_has(q: Query, p: S.Pseudo) -> S.Pseudo | None:
+        """The ``:has`` that is all of a ``:not``."""
+        if p.name != "not" or len(p.selectors) != 1 or len(p.selectors[0].steps) != 1:
+            return None
+        c = p.selectors[0].steps[0].compound
+        fits = c.kind is None or c.kind == q.shape.kind_name
+        return c.pseudos[0] if fits and not c.tests and not c.captures and len(c.pseudos) == 1 and c.pseudos[0].name == "has" else None
+
+    def _by_key(self, q: Query, p: S.Pseudo):
+        """(keys, condition) of a ``:has`` over one link of tables: a join on the foreign key, without the rows themselves."""
+        graph = q.shape.graph
+        if not isinstance(graph, RelationalGraph) or q.captures or len(p.selectors) != 1:
+            return None
+        s = p.selectors[0]
+        first = s.steps[0].compound
+        if s.leading is None or s.leading.op != ">":
+            return None
+        hops = [(x, f) for x, f in graph.hops(graph.kind_of(q), graph.child_names(), "forward") if first.kind in (None, x.target)]
+        if len(hops) != 1:
+            return None
+        link = hops[0][0]
+        start = graph.kind_query(link.target)
+        held = {c: fresh("held") for c in link.target_cols}
+        start = Query(start.df.select("*", *[F.col(start.shape.keys[c]).alias(n) for c, n in held.items()]), start.shape, start.plan, start.captures)
+        found = self.narrowed([start], first)
+        for step in s.steps[1:]:
+            found = self.narrowed(self.step(found, step.combinator, step.compound), step.compound)
+        if len(found) != 1:
+            return None
+        on = None
+        for a, b in zip(link.source_cols, link.target_cols):
+            c = F.col(q.shape.keys[a]) == F.col(held[b])
+            on = c if on is None else on & c
+        return found[0].df.select(*held.values()), on
+
     def _plain(self, q: Query, s: S.Sequence) -> Column | None:
         c = s.steps[0].compound
         if len(s.steps) > 1 or c.pseudos:
@@ -205,7 +246,7 @@ def one(queries: list[Query], empty: Query) -> Query:
         made = [F.col(ORD) if alike else F.to_json(F.struct(F.col(ORD))).alias(ORD)]
         for r, c in cols.items():
             have = q.shape.cols.get(r)
-            made.append((F.col(have) if have else F.lit(None).cast("long" if r in ("start", "end") else "string")).alias(c))
+            made.append((F.col(have) if have else F.lit(None).cast("long" if r in PLACES else "string")).alias(c))
         for n, s in attrs.items():
             v = q.shape.attr(n)
             if v.tag == "missing":

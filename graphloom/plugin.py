@@ -181,6 +181,21 @@ class Registry:
             _fail("unknown", f"no plugin {name}")
         return self.plugins[name]
 
+    def _contributed(self, table: str, name: str):
+        for p in self.plugins.values():
+            made = getattr(p, table)
+            target = p.manifest.aliases.get(name, name)
+            if target in made:
+                return made[target]
+        _fail("unknown-contribution", f"no plugin has {name} among its {table}")
+
+    def render(self, plan, renderer: str | None = None, diff: str | None = None, reveal: bool = False) -> str:
+        """A change plan by a contributed renderer, or as usual with a contributed diff."""
+        from .change import render, unified
+
+        made = self._contributed("renderers", renderer) if renderer else None
+        return render(plan, reveal, self._contributed("diffs", diff) if diff else unified, made)
+
     def extend(self, env):
         """The environment with all contributions, also under their aliases."""
         from .plans.pipeline import Function

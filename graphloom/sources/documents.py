@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left
 from dataclasses import dataclass, field, replace
 
 import pyarrow as pa
@@ -82,7 +84,20 @@ SCHEMAS = {"json": JSON_SCHEMA, "markdown": MARKDOWN_SCHEMA, "ts": TS_SCHEMA}
 _ARROW = {"string": pa.string(), "number": pa.float64(), "boolean": pa.bool_()}
 _ITEM = pa.struct([("t", pa.string()), ("s", pa.string()), ("n", pa.float64()), ("b", pa.bool_()), ("i", pa.decimal128(38, 0))])
 _TAGGED = pa.struct([*_ITEM, ("m", pa.list_(_ITEM))])
-_LONGS = ("pre", "last", "parent", "sib", "depth", "start", "end")
+_PLACES = ("startLine", "startColumn", "endLine", "endColumn")
+_LONGS = ("pre", "last", "parent", "sib", "depth", "start", "end", *_PLACES)
+
+
+def lines_of(text: str):
+    """Function from an offset in UTF-16 units to (line, column), both from 0."""
+    unit = P.utf16(text) or (lambda k: k)
+    breaks = [unit(m.start()) for m in re.finditer("\n", text)]
+
+    def at(offset: int) -> tuple[int, int]:
+        line = bisect_left(breaks, offset)
+        return line, offset - (breaks[line - 1] + 1 if line else 0)
+
+    return at
 
 
 def parsed(docs: DataFrame, language: str, view: str | None = None, on_error: str = "skip") -> DataFrame:
@@ -100,10 +115,10 @@ def parsed(docs: DataFrame, language: str, view: str | None = None, on_error: st
         for batch in batches:
             cols: dict[str, list] = {f: [] for f in fields}
 
-            def put(head, row, code=None, message=None):
+            def put(head, row, code=None, message=None, at=None):
                 values = {"resource": head[0], "uri": head[1], "revision": head[2], "code": code, "message": message}
                 if row is not None:
-                    values |= {"local": row.local, "kind": row.kind, "edge": row.edge, **{c: getattr(row, c) for c in _LONGS}, **{f"@{a}": (P.tagged(x) if attrs[a] == "tagged" else x) for a, x in row.attrs.items()}}
+                    values |= {"local": row.local, "kind": row.kind, "edge": row.edge, **{c: getattr(row, c) for c in _LONGS if c not in _PLACES}, **dict(zip(_PLACES, (*at(row.start), *at(row.end)))), **{f"@{a}": (P.tagged(x) if attrs[a] == "tagged" else x) for a, x in row.attrs.items()}}
                 for f in fields:
                     cols[f].append(values.get(f))
 
@@ -118,8 +133,9 @@ def parsed(docs: DataFrame, language: str, view: str | None = None, on_error: st
                         raise ValueError(f"{language}.invalid-syntax in {uri}: {e}") from e
                     put(head, None, f"{language}.invalid-syntax", str(e))
                     continue
+                at = lines_of(text.removeprefix("\ufeff"))
                 for row in tree.rows:
-                    put(head, row)
+                    put(head, row, at=at)
                 for code, message, _, _ in tree.notes:
                     put(head, None, code, message)
             kinds = {**{f: pa.string() for f in ("resource", "uri", "revision", "local", "kind", "edge", "code", "message")}, **{c: pa.int64() for c in _LONGS}, **{f"@{a}": _TAGGED if t == "tagged" else _ARROW[t] for a, t in attrs.items()}}

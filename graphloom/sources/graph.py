@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..diagnostics import LoomError
 from ..operators.query import ORD, Query, then
-from ..operators.shapes import Node, Scalar, fresh
+from ..operators.shapes import ROLES, Node, Scalar, fresh
 from ..plans.plan import PlanNode
 from ..schema import AdapterSchema
 from ..scratch import stored
@@ -224,7 +224,8 @@ class TreeGraph(Graph):
     extra: DataFrame | None = None  # reference edges: name, resource, from_pre, to_pre, pos
 
     def table(self) -> tuple[DataFrame, Node]:
-        roles = {r: r for r in ("adapter", "resource", "local", "kind", "uri", "revision", "start", "end")}
+        have = set(self.nodes.columns)
+        roles = {r: r for r in ROLES if r in have}
         keys = {k: k for k in ("edge", "pre", "last", "parent", "sib", "depth")}
         return mount_shape(self.nodes, roles, {k: replace(s, name=f"@{k}") for k, s in self.attrs.items()}, keys, self)
 
@@ -427,19 +428,36 @@ class RelationalGraph(Graph):
         return out
 
     def traverse(self, q, edges, roles, direction, max_depth, include_self):
-        """All paths of up to ``max_depth`` links; kinds without further links end a path when the plan is made."""
+        """All paths of up to ``max_depth`` links, in pre-order; kinds without further links end a path when the plan is made.
+
+        The path of a row lists its links and keys as text that sorts like them, so
+        that rows of different kinds interleave as in a walk.
+        """
         from ..plans.selector import one
 
-        names, level = set(self.names_of(edges, roles)), [q]
-        out = [q] if include_self else []
+        first, path = fresh("first"), fresh("path")
+        start = q.df.select("*", F.col(ORD).alias(first), F.array().cast("array<string>").alias(path))
+        names, level = set(self.names_of(edges, roles)), [Query(start, q.shape, q.plan, q.captures)]
+        out = list(level) if include_self else []
         for depth in range(max_depth):
             if depth > MAX_UNROLL:
                 raise LoomError("query.unbounded-traversal", f"a walk of more than {MAX_UNROLL} steps")
-            level = [self.hop(x, link, forward) for x in level for link, forward in self.hops(self.kind_of(x), names, direction)]
+            level = [self._further(x, link, forward, path) for x in level for link, forward in self.hops(self.kind_of(x), names, direction)]
             if not level:
                 break
             out += level
-        return one(out, q)
+        placed = [Query(x.df.withColumn(ORD, F.struct(F.col(first).alias("a"), F.col(path).alias("b0"))).drop(first, path), x.shape, x.plan, x.captures) for x in out]
+        return one(placed, q)
+
+    def _further(self, q: Query, link: Link, forward: bool, path: str) -> Query:
+        out = self.hop(q, link, forward)
+        k = self.kinds[link.target if forward else link.source]
+        types = dict(out.df.dtypes)
+        parts = [F.lit(f"{self.links.index(link):04d}")]
+        for c in (out.shape.keys[x] for x in (k.ordinal or k.key)):
+            number = types[c] in ("tinyint", "smallint", "int", "bigint")
+            parts.append(F.lpad((F.col(c).cast("decimal(38,0)") + F.lit(str(1 << 63)).cast("decimal(38,0)")).cast("string"), 20, "0") if number else F.col(c).cast("string"))
+        return Query(out.df.withColumn(path, F.concat(path, F.array(F.concat_ws("\0", *parts)))), out.shape, out.plan, out.captures)
 
     def siblings_of(self, q: Query, link: Link, following: bool) -> Query:
         """Next or following children of the same parent, by the ordinal of their kind."""
