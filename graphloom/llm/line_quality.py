@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from . import kernels as K
 from .shared import cast_like, spare_name, written
 
-#: A line goes if more documents of its host hold it than both of these allow.
+#: A line goes if more documents of its host hold it than both of these allow, or more than the third whatever the size of the host.
 MIN_DOCS = 5
 HOST_SHARE = 0.005
+MAX_DOCS = 5_000
 #: A document goes if less than this share of its characters is left.
 KEEP_SHARE = 0.3
 #: Keys (16 bytes each) sent to every executor at once; beyond it they are joined by doc_id.
@@ -53,7 +54,7 @@ def line_keys(texts: pa.Array, hosts: pa.Array):
         yield lo, hi, row[first], line[first], K.mix(key)
 
 
-def frequent_lines(docs: DataFrame, host: str, min_docs: int, host_share: float) -> DataFrame:
+def frequent_lines(docs: DataFrame, host: str, min_docs: int, host_share: float, max_docs: int) -> DataFrame:
     """(key, docs) of the lines above the limits; distinct documents are counted over the whole table."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(host).cast("string").alias("host"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col(host).cast("string")).alias("home"))
 
@@ -72,7 +73,7 @@ def frequent_lines(docs: DataFrame, host: str, min_docs: int, host_share: float)
     # a key includes its host, so any one of its rows tells which host's limit holds
     counts = lines.groupBy("key", "doc_id").agg(F.min("home").alias("home")).groupBy("key").agg(F.count("*").alias("docs"), F.min("home").alias("home")).where(F.col("docs") > min_docs)
     sizes = rows.where("doc_id is not null").groupBy("home").agg(F.count_distinct("doc_id").alias("host_docs"))
-    return counts.join(sizes, "home").where(F.col("docs") > F.col("host_docs") * host_share).select("key", "docs")
+    return counts.join(sizes, "home").where((F.col("docs") > F.col("host_docs") * host_share) | (F.col("docs") > max_docs)).select("key", "docs")
 
 
 def _cleaned(texts: pa.Array, hosts: pa.Array, bad, keep_share: float):
@@ -93,12 +94,13 @@ def _cleaned(texts: pa.Array, hosts: pa.Array, bad, keep_share: float):
     return out, live
 
 
-def clean_lines(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, host_share: float = HOST_SHARE, keep_share: float = KEEP_SHARE, max_sent: int = MAX_SENT) -> DataFrame:
+def clean_lines(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, host_share: float = HOST_SHARE, keep_share: float = KEEP_SHARE, max_sent: int = MAX_SENT, max_docs: int = MAX_DOCS) -> DataFrame:
     """``docs`` (doc_id, text, host column, ...) without over-frequent lines and without depleted documents.
 
     Lines are compared with case folded and white space collapsed.  A line is
     removed if more than ``min_docs`` distinct documents of its host hold it and
-    these are more than ``host_share`` of the host's documents.  A document is
+    these are more than ``host_share`` of the host's documents or more than
+    ``max_docs``.  A document is
     rejected if less than ``keep_share`` of its characters (line breaks aside)
     is left, or no word.  All columns return; ``n_chars``, if there, is that of
     the new text.
@@ -106,10 +108,11 @@ def clean_lines(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS,
     Null, empty and blank texts have no word and are rejected.  A null host is a
     host of its own.  Rows with a null doc_id count for no limit but are cleaned
     like others.  Rows with one doc_id count once; each row stays a row.  Blank
-    lines are neither counted nor removed.  An empty table gives an empty one.
+    lines are neither counted nor removed.  Long texts are judged whole; a line at a
+    limit stays.  An empty table gives an empty one; further columns stay as they are.
     """
     spark = docs.sparkSession
-    bad = written(frequent_lines(docs, host, min_docs, host_share), "lines")
+    bad = written(frequent_lines(docs, host, min_docs, host_share, max_docs), "lines")
     names = docs.columns
     at_text, at_host = names.index("text"), names.index(host)
     at_chars = names.index("n_chars") if "n_chars" in names else None
@@ -179,7 +182,7 @@ WITH lines AS (
 ), bad AS (
   SELECT l.source, l.norm FROM lines l JOIN hosts h ON l.source IS NOT DISTINCT FROM h.source
   WHERE l.norm <> '' GROUP BY l.source, l.norm, h.host_docs
-  HAVING count(DISTINCT doc_id) > {MIN_DOCS} AND count(DISTINCT doc_id) > h.host_docs * CAST({HOST_SHARE} AS DOUBLE)
+  HAVING count(DISTINCT doc_id) > {MIN_DOCS} AND (count(DISTINCT doc_id) > h.host_docs * CAST({HOST_SHARE} AS DOUBLE) OR count(DISTINCT doc_id) > {MAX_DOCS})
 ), judged AS (
   SELECT l.*, b.norm IS NOT NULL AS gone
   FROM lines l LEFT JOIN bad b ON l.source IS NOT DISTINCT FROM b.source AND l.norm = b.norm

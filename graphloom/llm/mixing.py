@@ -159,7 +159,8 @@ def solve(cells: DataFrame, dims: list[str], targets: dict | None = None, temper
     steps = 0
     while steps < MAX_STEPS and np.abs(grad).max() > TOLERANCE:
         move = newton(grad, cell)
-        move *= min(1.0, 3.0 / max(np.abs(move).max(), 1e-300))
+        # no rate changes by more than this at once; multipliers may, where those of one document cancel out
+        move *= min(1.0, 3.0 / max(np.abs(move[spots].sum(1)).max(), abs(move[-1]), 1e-300))
         scale = 1.0
         while True:
             trial = lam + scale * move
