@@ -178,10 +178,9 @@ class Query:
             parts = [p for m in made for p in V.order_parts(m)]
             key = F.struct(*[p.alias(f"k{i}") for i, p in enumerate(parts)], F.col(ORD).alias("a"))
             return self._next("sort", self.df.withColumn(ORD, key), ordering="stable", details=details)
-        # a sort expression with a direction of its own: rows are ranked
+        # a sort expression with a direction of its own: rows are sorted over all tasks and numbered where they lie
         cols = [c for m in made for c in ([p.asc() for p in V.order_parts(m)] if isinstance(m, Value) else [m])]
-        rank = F.row_number().over(Window.orderBy(*cols, ORD)).cast("bigint")
-        return self._next("sort", self.df.withColumn(ORD, rank), ordering="stable", details=details)
+        return self._next("sort", self.df.orderBy(*cols, ORD).withColumn(ORD, F.monotonically_increasing_id()), ordering="stable", details=details)
 
     def capture(self, name: str) -> Query:
         if not name or not isinstance(name, str):

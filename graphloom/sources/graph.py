@@ -268,12 +268,15 @@ class TreeGraph(Graph):
 
     def _reference(self, q, names, direction):
         a, b = ("from_pre", "to_pre") if direction == "forward" else ("to_pre", "from_pre")
-        m = {x: fresh(x) for x in ("res", "a", "b", "pos")}
-        e = self.extra.where(F.col("name").isin(names)).select(F.col("resource").alias(m["res"]), F.col(a).alias(m["a"]), F.col(b).alias(m["b"]), F.col("pos").alias(m["pos"]))
+        m = {x: fresh(x) for x in ("res", "to", "a", "b", "pos")}
+        here = there = "resource"
+        if "to_resource" in self.extra.columns:
+            here, there = ("resource", "to_resource") if direction == "forward" else ("to_resource", "resource")
+        e = self.extra.where(F.col("name").isin(names)).select(F.col(here).alias(m["res"]), F.col(there).alias(m["to"]), F.col(a).alias(m["a"]), F.col(b).alias(m["b"]), F.col("pos").alias(m["pos"]))
         df, shape = self.table()
         keep = q.carried()
         out = q.df.join(e, (F.col(q.shape.cols["resource"]) == F.col(m["res"])) & (F.col(q.shape.keys["pre"]) == F.col(m["a"])))
-        out = out.select(*keep, m["res"], m["b"], m["pos"]).join(df, (F.col(m["res"]) == F.col(shape.cols["resource"])) & (F.col(m["b"]) == F.col(shape.keys["pre"])))
+        out = out.select(*keep, m["to"], m["b"], m["pos"]).join(df, (F.col(m["to"]) == F.col(shape.cols["resource"])) & (F.col(m["b"]) == F.col(shape.keys["pre"])))
         return Query(out.withColumn(ORD, then(F.col(m["pos"]))).select(*keep, *shape.columns()), shape, q.plan, q.captures)
 
     def extend(self, q, names, direction, path):

@@ -211,3 +211,17 @@ def test_schema_contract():
     ):
         with pytest.raises(ValueError):
             bad()
+
+
+def test_overlaps_against_all_pairs():
+    import random
+
+    from graphloom.change import Change, overlap, overlaps
+
+    g = random.Random(3)
+    made = []
+    for i in range(120):
+        a = g.randint(0, 40)
+        whole = g.random() < 0.05
+        made.append(Change(str(i), "o", "fs", g.choice("uvw"), "edit", None if whole else a, None if whole else a + g.choice([0, 0, 1, 4]), destination=g.choice([None, None, None, "u", "x"])))
+    assert overlaps(made) == [(a, b) for i, a in enumerate(made) for b in made[i + 1 :] if overlap(a, b)]
