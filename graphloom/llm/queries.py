@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 
 from . import classifier, decontaminate, licences, line_quality, mixing, neardup, repeats, secrets, shared, token_bin, token_counts
@@ -16,8 +18,9 @@ def op3_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts through a cache that stays in the shared folder: a later run encodes only what is new."""
-    return token_counts.token_counts(_table(spark, sf_dir, "documents"), f"{shared.shared_dir(spark)}/token-cache")
+    """Counts through the corpus's cache in the shared folder: a later run over it encodes only what is new."""
+    name = hashlib.sha256(sf_dir.encode()).hexdigest()[:16]
+    return token_counts.token_counts(_table(spark, sf_dir, "documents"), f"{shared.shared_dir(spark)}/token-cache-{name}")
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -50,6 +50,27 @@ def test_counts_and_cache(spark, tmp_path):
     assert C.token_counts(documents(spark, []), cache).collect() == []
 
 
+@pytest.mark.parametrize("max_sent", [2_000_000, 0])
+def test_every_way_of_leaving_out_what_is_stored(spark, tmp_path, max_sent):
+    g = random.Random(8)
+    rows = [(i, words(g, 20)) for i in range(30)]
+    cache = f"file://{tmp_path}/cache"
+    C.token_counts(documents(spark, rows[:20]), cache, max_sent=max_sent).collect()
+    got = {r.doc_id: (r.n_tokens, r.cached) for r in C.token_counts(documents(spark, rows), cache, max_sent=max_sent).collect()}
+    assert got == {d: (len(encode(t)), d < 20) for d, t in rows}
+    assert C.stored(spark, cache, T.digest_of()).count() == 30
+
+
+def test_the_query_keeps_the_cache_of_its_corpus(spark, tmp_path):
+    from graphloom.llm.queries import QUERIES
+
+    documents(spark, [(i, f"text number {i}") for i in range(5)]).write.parquet(f"{tmp_path}/documents.parquet")
+    run = QUERIES["op4_token_counts"]
+    assert [r.cached for r in run(spark, str(tmp_path)).collect()] == [False] * 5
+    documents(spark, [(9, "one more")]).write.mode("append").parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id: r.cached for r in run(spark, str(tmp_path)).collect()} == {**{i: True for i in range(5)}, 9: False}
+
+
 @pytest.mark.parametrize("a, b", [("é", "é"), ("a\r\nb", "a\nb"), (" a ", "a")])
 def test_equal_contents_share_a_digest(a, b):
     import pyarrow as pa
