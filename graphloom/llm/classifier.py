@@ -261,8 +261,9 @@ def classified(docs: DataFrame, labels: DataFrame, meta=("lang", "source"), limi
     Rows with a null doc_id are left out.  Null and empty texts have only structure
     and metadata; a null in metadata is a value of its own.  Labels that are null,
     not 0 or 1, or without a document are ignored; of repeated labels the greatest
-    holds.  Without labels every document passes.  Repeated rows each return.  An
-    empty table gives an empty result; other columns are ignored.
+    holds.  Without labels every document passes.  Repeated rows each return; long
+    texts are scored whole; a score at 0.5 passes as quality and fails as toxic.  An
+    empty table gives an empty result; other columns are ignored, whatever their names.
     """
     spark = docs.sparkSession
     heads = [train(docs, labels, t, meta, limit) for t in ("quality", "toxic")]

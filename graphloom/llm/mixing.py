@@ -248,7 +248,8 @@ def mixture(docs: DataFrame, dimensions=DIMENSIONS, targets: dict | None = None,
     stay once.  Repeated rows each count and draw alike.  A value without a target
     is brought near zero; a target without documents is left out and the others are
     scaled to one.  Targets that contradict each other are met as nearly as
-    possible.  An empty table gives an empty result.
+    possible.  Long texts count whole; a remainder equal to its draw is rounded down.
+    An empty table gives an empty result; other columns are ignored, whatever their names.
     """
     base, rate, _ = _plan(docs, dimensions, targets, temperature, budget, measure, tokenizer, folder, seed)
     dims = list(dimensions)

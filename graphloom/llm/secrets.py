@@ -437,7 +437,7 @@ def secrets(docs: DataFrame, formats: Formats | None = None, threshold: float =
     Rows with a null doc_id are left out; null and empty texts have no candidates;
     long texts and long runs are scanned whole; repeated rows give their rows once;
     ties between kinds go to the first by name, between strings to the longer, then the first.
-    An empty table gives an empty result; other columns are ignored.
+    An empty table gives an empty result; other columns are ignored, whatever their names.
     """
     held = sent(docs.sparkSession, formats or trained())
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")

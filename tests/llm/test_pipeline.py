@@ -7,7 +7,7 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 from fixtures import awkward, documents, words
-from test_neardup import weighted
+from test_neardup import similar, weighted
 
 import corpus_pipeline
 from graphloom.llm import decontaminate as D
@@ -61,7 +61,7 @@ def deduplicated(rows):
 
     for a in sets:
         for b in sets:
-            if a < b and N.weighted_jaccard(sets[a], sets[b]) >= N.THRESHOLD:
+            if a < b and similar(sets[a], sets[b]) >= N.THRESHOLD:
                 x, y = find(a), find(b)
                 root[max(x, y)] = min(x, y)
     return [r for r in rows if find(r[0]) == r[0]]
