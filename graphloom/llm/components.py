@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import discard, written
 
 #: Edges (16 bytes each) that one task joins by itself; more are joined in distributed rounds, to the same result.
 ONE_TASK = 1_000_000
@@ -75,6 +75,7 @@ def connected(edges: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
         if n == 0 or (n, s) == mark:
             break
         mark = (n, s)
-        now = written(_small_star(_large_star(now)), "edges")
+        before, now = now, written(_small_star(_large_star(now)), "edges")
+        discard(before)
     roots = now.select(F.col("b").alias("node")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(roots.select("node", F.col("node").alias("component")))

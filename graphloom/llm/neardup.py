@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .components import connected
-from .shared import spare_name, worker_cache, written
+from .shared import discard, spare_name, worker_cache, written
 
 SHINGLE = 3
 BANDS, ROWS = 24, 4
@@ -272,8 +272,8 @@ def signed(texts: DataFrame, bands: int = BANDS, rows: int = ROWS) -> tuple[int,
     return n_docs, parts.groupBy("piece").cogroup(counts.groupBy("piece")).applyInArrow(sign, "doc_id long, digest long, twin long, bands array<long>, df binary")
 
 
-def _homes(shared: DataFrame, placed: DataFrame, most: int) -> DataFrame:
-    """(doc_id, digest, home, buckets): where the members of candidate groups are compared.
+def _homes(shared: DataFrame, placed: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, digest, home, buckets): where the members of candidate groups are compared; and a table that it reads.
 
     A group with at most ``most`` shingles has one home.  Of a larger one each bucket
     is a home of its own, and a larger bucket is dealt into chunks of which every
@@ -290,7 +290,7 @@ def _homes(shared: DataFrame, placed: DataFrame, most: int) -> DataFrame:
     split = homes.join(over.withColumn("apart", F.lit(True)), ["home", "apart"], "left")
     chunk = F.pmod(F.xxhash64("doc_id", "digest"), F.col("chunks"))
     pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1), lambda j: F.xxhash64("home", F.least(chunk, j), F.greatest(chunk, j)))
-    return split.select("doc_id", "digest", F.explode(F.when(F.col("chunks").isNull(), F.array("home")).otherwise(pairs)).alias("home"), "buckets")
+    return split.select("doc_id", "digest", F.explode(F.when(F.col("chunks").isNull(), F.array("home")).otherwise(pairs)).alias("home"), "buckets"), homes
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, max_together: int = MAX_TOGETHER, max_sent: int = MAX_SENT) -> DataFrame:
@@ -321,8 +321,9 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     shared = written(keys.join(many, "bucket").select("doc_id", "digest", "n", "bucket", "first"), "shared")
     candidates = written(connected(shared.select(F.col("doc_id").alias("a"), F.col("first").alias("b"))), "candidates")
     sizes = shared.select("doc_id", "digest", "n").distinct().join(candidates, F.col("doc_id") == F.col("node")).groupBy("component").agg(F.sum("n").alias("size"))
-    homes = _homes(shared, candidates.join(sizes, "component"), max_together)
+    homes, table = _homes(shared, candidates.join(sizes, "component"), max_together)
     members = written(classes.select("doc_id", "digest", "df").join(homes, ["doc_id", "digest"]), "members")
+    discard(shared, candidates, table)
     few = members.select("doc_id").distinct()
     near = texts.join(F.broadcast(few), "doc_id", "left_semi") if few.count() <= max_sent else texts
     fetched = near.withColumn("digest", F.xxhash64("text")).join(members, ["doc_id", "digest"]).select("home", "doc_id", "digest", "buckets", "text", "df")
@@ -351,12 +352,14 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
                         where.setdefault(b, set()).add(d)
         yield from joined()
 
+    pairs = written(fetched.mapInArrow(verify, "a long, b long"), "pairs")
+    discard(members)
     own = written(_identified(texts).select("doc_id", "digest", "twin"), "identities")
     # a doc_id with several texts joins the groups of all of them
     several = own.groupBy("doc_id").agg(F.min(F.struct("digest", "twin")).alias("low"), F.max(F.struct("digest", "twin")).alias("high")).where("low <> high").select("doc_id")
     reps = classes.select("digest", "twin", F.col("doc_id").alias("rep"))
     bridges = own.join(several, "doc_id").join(reps, ["digest", "twin"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    groups = connected(written(fetched.mapInArrow(verify, "a long, b long"), "pairs").unionAll(bridges))
+    groups = connected(pairs.unionAll(bridges))
     every = own.join(reps, ["digest", "twin"], "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"))
     out = every.join(groups, every.rep == groups.node, "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("group_id"))
     return out.select("doc_id", "group_id", (F.col("group_id") == F.col("doc_id")).alias("keep"))

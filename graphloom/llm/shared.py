@@ -13,6 +13,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 _ROOTS: dict[str, str] = {}
+_PATH = "_loom_path"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -44,13 +45,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     path = fresh_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.__dict__[_PATH] = path
+    return out
 
 
-def delete_path(spark: SparkSession, path: str) -> None:
-    """Drop a table of :func:`written` (or any folder) that nothing reads any more."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+def discard(*tables: DataFrame) -> None:
+    """Drop tables of :func:`written` all of whose readers have been written themselves."""
+    for df in tables:
+        spark = df.sparkSession
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path(df.__dict__[_PATH])
+        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
 def sent(spark: SparkSession, value):
