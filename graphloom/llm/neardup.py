@@ -154,10 +154,47 @@ def _piece_shingles(texts: pa.Array):
     return *np.unique(ids, return_counts=True), blocks
 
 
+_PACKED = "piece long, ids binary, sizes binary, texts binary"
+
+
+def _packer(pieces: int):
+    """Deal rows (doc_id, digest, twin, text) to pieces; those of one batch and piece travel as one compressed row."""
+
+    def pack(batches):
+        zstd = pa.Codec("zstd", compression_level=1)
+        for batch in batches:
+            ids = np.stack([batch.column(i).to_numpy() for i in range(3)], 1)
+            home = (K.mix(ids[:, 0].view(np.uint64) * np.uint64(K._P)) % np.uint64(pieces)).astype(np.int64)
+            o = np.argsort(home, kind="stable")
+            at = np.r_[K.groups(home[o]), len(o)]
+            data, offs = K.buffer(batch.column(3))
+            size = np.diff(offs)
+            cols = ([], [], [], [])
+            for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
+                k = o[a:b]
+                raw = b"".join(data[offs[i] : offs[i + 1]].tobytes() for i in k)
+                for c, x in zip(cols, (home[k[0]], ids[k].tobytes(), size[k].tobytes(), zstd.compress(raw, asbytes=True) if raw else b"")):
+                    c.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *(pa.array(c, pa.binary()) for c in cols[1:])], [f.split()[0] for f in _PACKED.split(", ")])
+
+    return pack
+
+
+def _unpacked(table: pa.Table):
+    """(doc_id, digest, twin, texts) of packed rows; a null text counts as empty."""
+    zstd = pa.Codec("zstd")
+    ids = np.frombuffer(b"".join(table.column("ids").to_pylist()), np.int64).reshape(-1, 3)
+    sizes = [np.frombuffer(x, np.int64) for x in table.column("sizes").to_pylist()]
+    raw = b"".join(zstd.decompress(x, int(n.sum()), asbytes=True) if x else b"" for x, n in zip(table.column("texts").to_pylist(), sizes))
+    offs = np.cumsum(np.r_[0, *sizes]).astype(np.int64)
+    texts = pa.LargeStringArray.from_buffers(len(ids), pa.py_buffer(offs), pa.py_buffer(raw))
+    return ids[:, 0], ids[:, 1], ids[:, 2], texts
+
+
 def counted(texts: DataFrame) -> tuple[int, DataFrame, DataFrame]:
     """(documents, pieces, counts): exact document counts of all shingles of ``texts`` (doc_id, text).
 
-    pieces are the rows of ``texts`` with a digest and a ``piece``.  counts has, by
+    pieces are the rows of ``texts`` with two digests, packed.  counts has, by
     piece and bucket, the document counts over the whole corpus of the piece's
     distinct shingles of that bucket, in the order of their identifiers.  A
     bucket is a range of identifiers; all that pieces hold of it meets in one task.
@@ -165,10 +202,10 @@ def counted(texts: DataFrame) -> tuple[int, DataFrame, DataFrame]:
     total = texts.agg(F.count("*").alias("docs"), F.sum(F.octet_length("text")).alias("bytes")).first()
     size = total.bytes or 0
     buckets = min(-(-size // BUCKET) or 1, 1 << 20)
-    parts = _identified(texts).withColumn("piece", F.pmod(F.xxhash64("doc_id"), F.lit(-(-size // PIECE) or 1)))
+    parts = _identified(texts).select("doc_id", "digest", "twin", "text").mapInArrow(_packer(-(-size // PIECE) or 1), _PACKED)
 
     def spread(table):
-        ids, docs, _ = _piece_shingles(table.column("text"))
+        ids, docs, _ = _piece_shingles(_unpacked(table)[3])
         home = (ids >> np.uint64(20)) * np.uint64(buckets) >> np.uint64(32)
         at = np.r_[K.groups(home), len(ids)].astype(np.int64)
         cuts = list(zip(at[:-1].tolist(), at[1:].tolist()))
@@ -243,8 +280,8 @@ def signed(texts: DataFrame, bands: int = BANDS, rows: int = ROWS) -> tuple[int,
     n_docs, parts, counts = counted(texts)
 
     def sign(table, counts):
-        doc, digest, twin = (table.column(c).to_numpy() for c in ("doc_id", "digest", "twin"))
-        u, _, blocks = _piece_shingles(table.column("text"))
+        doc, digest, twin, held = _unpacked(table)
+        u, _, blocks = _piece_shingles(held)
         counts = counts.sort_by("bucket")
         df = np.concatenate([np.zeros(0, np.uint64), *(_numbers(d.as_py(), n) for d, n in zip(counts.column("df"), counts.column("n").to_pylist()))])
         if len(df) != len(u):
