@@ -1,4 +1,4 @@
-"""Every registered query of the graph engine against its SQL, on the tables of the smallest scale."""
+"""Every registered query of the graph engine against its SQL, on small tables."""
 
 import numbers
 import os
@@ -9,7 +9,7 @@ import pytest
 
 import graphloom.queries as Q
 
-DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables here")
 
 
