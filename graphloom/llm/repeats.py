@@ -1,4 +1,4 @@
-"""Repeated passages across documents: joined on winnowed seeds, extended both ways."""
+"""Repeated passages across documents: joined on winnowed seeds, all places tied to the first, matches extended both ways."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .shared import sent, written
+from .shared import discard, sent, written
 
 #: A repeat has at least this many words.
 MIN_WORDS = 50
@@ -27,8 +27,10 @@ _WIDE = 8  # bytes of a window hash
 CONTEXT = ((-2, 0), (0, 2), (-8, 0), (0, 8))
 _PLACED = "anchor long, doc long, body long, c0 long, c1 long, c2 long, c3 long, at int, windows binary"
 _STRETCH = "doc long, body long, a long, b long, r_doc long, r_body long, r_diag long, p_doc long, p_body long, p_diag long"
-_RUN = "doc long, body long, low long, high long, partners long, p_doc long, p_body long, p_diag long, parts binary, spans binary"
+_WINDOW = "anchor long, doc long, body long, c0 long, c1 long, c2 long, c3 long, pos long, hash long"
+_RUN = "doc long, body long, low long, high long, partners long, lead long, p_doc long, p_body long, p_diag long, parts binary, spans binary"
 _MATCH = "doc long, body long, low long, a long, b long, p_doc long, p_body long, p_diag long"
+_MEMBER = "doc long, body long, a long, b long, p_doc long, p_body long, p_diag long"
 
 
 def anchored_windows(ids: np.ndarray, bodies: np.ndarray, texts: pa.Array, min_words: int, seed: int, chosen=None):
@@ -91,9 +93,10 @@ def _meetings(anchor, doc, body, contexts, at, size, h):
     place (document, text, position) among equal windows stands for them (r).  The
     partner (p) of a window is the least place in another document, of those with
     the same text, else the same context, else of all; a stretch has one
-    of each, at one distance (diag).
+    of each, at one distance (diag).  Places that come twice count once.
     """
     o = np.lexsort((at, body, doc, anchor))
+    o = o[_starts(anchor[o], doc[o], body[o], at[o])]
     base = np.cumsum(size) - size
     start = base[o]
     anchor, doc, body, at, size = (x[o] for x in (anchor, doc, body, at, size))
@@ -204,20 +207,40 @@ def _compare(batches):
 
 
 def _one_by_one(places: DataFrame) -> DataFrame:
-    """The same stretches, a window each, by joins that spread the windows of a frequent anchor."""
+    """The same stretches, a window each, by joins that spread the windows of a frequent anchor.
+
+    Places and partners are chosen by the rules of :func:`_meetings`, one context after the other, the best first.
+    """
 
     def spread(batches):
         for b in batches:
             size, h = _hashes(b.column("windows"))
             who = np.repeat(np.arange(len(size)), size)
             step = np.arange(len(who)) - (np.cumsum(size) - size)[who]
-            yield _batch([*(b.column(i).to_numpy()[who] for i in range(3)), b.column("at").to_numpy()[who] + step, h], "anchor long, doc long, body long, pos long, hash long")
-
-    rows = written(places.mapInArrow(spread, "anchor long, doc long, body long, pos long, hash long"), "windows")
-    key, place = ["anchor", "hash"], F.struct("doc", "body", "pos")
-    first = rows.groupBy(*key).agg(F.min(place).alias("r"), F.max("doc").alias("last")).where("r.doc <> last").select(*key, "r")
-    second = rows.join(first, key).where("doc <> r.doc").groupBy(*key).agg(F.min(place).alias("s"))
-    met = rows.join(first.join(second, key), key).withColumn("p", F.when(F.col("doc") == F.col("r.doc"), F.col("s")).otherwise(F.col("r")))
+            yield _batch([*(b.column(i).to_numpy()[who] for i in range(3 + len(CONTEXT))), b.column("at").to_numpy()[who] + step, h], _WINDOW)
+
+    rows = written(places.mapInArrow(spread, _WINDOW).distinct(), "windows")
+    key = ["anchor", "hash"]
+    first = rows.groupBy(*key).agg(F.min(F.struct("doc", "body", "pos")).alias("r"), F.max("doc").alias("last")).where("r.doc <> last").drop("last")
+    met = written(rows.join(first, key).withColumn("p", F.lit(None).cast("struct<doc: bigint, body: bigint, pos: bigint>")), "met")
+    discard(rows)
+    key.append("near")
+    for near in ("body", *(f"c{i}" for i in reversed(range(len(CONTEXT)))), "0L"):
+        own = Window.partitionBy(*key, "doc", "body")
+        ranked = met.withColumn("near", F.expr(near)).withColumn("rank", F.row_number().over(own.orderBy("pos")) - 1).withColumn("size", F.count(F.lit(1)).over(own))
+        # of each text its number of places; the one with the most leads, and one of another document is for the leading document
+        parts = ranked.where("rank = 0").select(*key, F.expr("struct(-size as size, doc, body)").alias("part"))
+        lead = parts.groupBy(*key).agg(F.min("part").alias("lead"))
+        both = parts.join(lead, key).where("part.doc <> lead.doc").groupBy(*key).agg(F.min("lead").alias("lead"), F.min("part").alias("other"))
+        asked = ranked.join(both, key, "left").withColumn("to", F.expr("if(doc <> lead.doc, lead, other)"))
+        asked = asked.withColumns({"to_doc": F.col("to.doc"), "to_body": F.col("to.body"), "turn": F.expr("rank % -to.size")})
+        held = ranked.select(*key, F.col("doc").alias("to_doc"), F.col("body").alias("to_body"), F.col("rank").cast("long").alias("turn"), F.col("pos").alias("to_pos"))
+        found = F.expr("coalesce(p, if(to_pos is null, null, struct(to_doc as doc, to_body as body, to_pos as pos)))")
+        done = written(asked.join(held, [*key, "to_doc", "to_body", "turn"], "left").withColumn("p", found).select(met.columns), "met")
+        discard(met)
+        met = done
+        if met.where("p is null").isEmpty():
+            break
     return met.selectExpr("doc", "body", "pos as a", "pos as b", "r.doc as r_doc", "r.body as r_body", "r.pos - pos as r_diag", "p.doc as p_doc", "p.body as p_body", "p.pos - pos as p_diag")
 
 
@@ -229,6 +252,10 @@ def _unpack(raw: bytes, columns: int) -> np.ndarray:
     return np.cumsum(np.frombuffer(zlib.decompress(raw), np.int64).reshape(columns, -1), axis=1)
 
 
+def _code(doc: np.ndarray, body: np.ndarray) -> np.ndarray:
+    return K.mix(doc.view(np.uint64) * np.uint64(K._P) + K.mix(body.view(np.uint64))).view(np.int64)
+
+
 def _starts(*columns) -> np.ndarray:
     """Mask of rows that differ from the one before."""
     new = np.ones(len(columns[0]), bool)
@@ -241,38 +268,35 @@ def _starts(*columns) -> np.ndarray:
 def _gather(batches):
     """Rows of :data:`_RUN` from stretches sorted by document, text and place: one for each run and partner in it.
 
-    ``parts`` packs what stands for the windows of the run (first, last, code, diag),
-    ``spans`` the windows (first, last) whose partner it is.
+    ``parts`` packs what stands for the windows of the run (first, last, document, text, diag),
+    ``spans`` the windows (first, last) whose partner it is.  One row of each run has the ``lead``.
     """
     rest = None
 
     def runs(c):
         if not len(c[0]):
             return
-        fresh = _starts(c[0], c[1], c[2])  # equal rows of one document come twice
-        c = [x[fresh] for x in c]
         doc, body, a, b = c[:4]
-        code = K.mix(c[4].view(np.uint64) * np.uint64(K._P) + K.mix(c[5].view(np.uint64))).view(np.int64)
         fresh = _starts(doc, body)
         fresh[1:] |= a[1:] != b[:-1] + 1
         head = np.flatnonzero(fresh)
         tail = np.r_[head[1:], len(a)]
-        same_r = ~(_starts(code, c[6]) | fresh)
+        same_r = ~(_starts(*c[4:7]) | fresh)
         same_p = ~(_starts(*c[7:]) | fresh)
         out = []
         for i, j in zip(head.tolist(), tail.tolist()):
             x = i + np.flatnonzero(~same_r[i:j])
-            parts = _pack(a[x], b[np.r_[x[1:], j] - 1], code[x], c[6][x])
+            parts = _pack(a[x], b[np.r_[x[1:], j] - 1], *(z[x] for z in c[4:7]))
             y = i + np.flatnonzero(~same_p[i:j])
             low, high = a[y], b[np.r_[y[1:], j] - 1]
             who = [z[y] for z in c[7:]]
             o = np.lexsort((low, *who[::-1]))
             first = np.flatnonzero(_starts(*(z[o] for z in who)))
             for m, n in zip(first, np.r_[first[1:], len(o)]):
-                out.append((doc[i], body[i], a[i], b[j - 1], len(first), *(z[o[m]] for z in who), parts, _pack(low[o[m:n]], high[o[m:n]])))
+                out.append((doc[i], body[i], a[i], b[j - 1], len(first), int(m == 0), *(z[o[m]] for z in who), parts, _pack(low[o[m:n]], high[o[m:n]])))
         cols = list(zip(*out))
         names = [f.split()[0] for f in _RUN.split(", ")]
-        yield pa.RecordBatch.from_arrays([K.long_column(np.array(x, np.int64)) for x in cols[:8]] + [pa.array(x, pa.binary()) for x in cols[8:]], names)
+        yield pa.RecordBatch.from_arrays([K.long_column(np.array(x, np.int64)) for x in cols[:9]] + [pa.array(x, pa.binary()) for x in cols[9:]], names)
 
     for batch in batches:
         if not batch.num_rows:
@@ -314,36 +338,60 @@ def extended(own, other, spans, diag: int) -> list[tuple[int, int]]:
 
 def _extend(batches):
     """Rows of :data:`_MATCH` of runs whose windows have several partners."""
+
+    def coded(raw):
+        a, b, doc, body, diag = _unpack(raw, 5)
+        return a, b, _code(doc, body), diag
+
     for batch in batches:
         out = []
         for x in batch.to_pylist():
-            for a, b in extended(_unpack(x["parts"], 4), _unpack(x["f_parts"], 4), _unpack(x["spans"], 2), x["p_diag"]):
+            for a, b in extended(coded(x["parts"]), coded(x["f_parts"]), _unpack(x["spans"], 2), x["p_diag"]):
                 out.append((x["doc"], x["body"], x["low"], a, b, x["p_doc"], x["p_body"], x["p_diag"]))
         if out:
             yield _batch([np.array(c, np.int64) for c in zip(*out)], _MATCH)
 
 
-def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, seed: int = SEED, hot: int = HOT, sample: int = HOT_SAMPLE) -> DataFrame:
-    """(doc_id, start_word, end_word, n_words, first_doc_id, first_start): maximal repeats of ``docs`` (doc_id, text, ...).
+def _members(batches):
+    """Rows of :data:`_MEMBER` from the parts of runs."""
+    for batch in batches:
+        packed = [_unpack(x, 5) for x in batch.column("parts").to_pylist()]
+        if packed:
+            who = np.repeat(np.arange(len(packed)), [x.shape[1] for x in packed])
+            a, b, doc, body, diag = np.concatenate(packed, axis=1)
+            yield _batch([batch.column("doc").to_numpy()[who], batch.column("body").to_numpy()[who], a, b, doc, body, diag], _MEMBER)
+
+
+def linked_passages(docs: DataFrame, min_words: int = MIN_WORDS, seed: int = SEED, hot: int = HOT, sample: int = HOT_SAMPLE) -> DataFrame:
+    """Every repeat of ``docs`` (doc_id, text, ...) as pairs and membership: (doc_id, start_word, end_word, n_words, first_doc_id, first_start, text_id, first_text_id, kind).
 
     A word is a run without ASCII white space, compared with ASCII letters
-    lowered; start_word and end_word (exclusive) count words from 0.  Places of
-    documents are joined on the winnowed seed of each run of ``min_words`` words.
-    Each run that another document holds is paired with a place where another
-    document holds it: one in an equal text if there is one, else one with as many equal
+    lowered; start_word and end_word (exclusive) count words from 0.  Words start_word to end_word
+    of text text_id of document doc_id stand whole in text first_text_id of document first_doc_id
+    from word first_start on.  Places of documents are joined on the winnowed seed of each run of
+    ``min_words`` words.
+
+    ``kind`` member: each run of ``min_words`` words that several documents hold is a class. The
+    first place that holds it (the least document, text and position) stands for it, and every
+    place that holds it, the first included, has it inside a member row that leads there.  So
+    two documents hold equal runs if and only if member rows of theirs overlap by ``min_words``
+    words or more in one first text, and those are the equal words: a join of member rows on
+    (first_doc_id, first_text_id) with that overlap gives all pairs of places.  Rows grow with
+    the text, not with the pairs.
+
+    ``kind`` match: maximal matches.  Each run that another document holds is paired with a
+    place where another document holds it: one in an equal text if there is one, else one with as many equal
     seeds around it as can be; among these in the text that holds it most often, the
-    least doc_id of equals.  The pair is extended
-    both ways as far as the two documents agree.  A row is such a match: words start_word to end_word stand whole in document first_doc_id from
-    word first_start on, and neither end can be moved out.  Matches inside another
-    match of the same text are left out; of equal ones the least partner stays.  So every repeated
-    run is covered, every copy of a passage has a row, and rows grow with the text,
-    not with the pairs.
+    least doc_id of equals.  The pair is extended both ways as far as the two documents agree, so
+    neither end can be moved out.  Matches inside another match of the same text are left out; of
+    equal ones the least partner stays.  So every repeated run is covered and every copy of
+    a passage has a row, with one of its partners; the others are found by the member rows.
 
     Rows with a null doc_id are left out; null, empty and shorter texts have no
     repeats; long texts count whole.  Rows with one doc_id are one document: what recurs only among them
     is no repeat, equal rows give their rows once, and different texts of one doc_id each
     give their own.  An empty table gives an empty result; other columns are
-    ignored, whatever their names.
+    ignored, whatever their names.  ``hot`` and ``sample`` decide where seeds meet, not what is found.
     """
     if not 0 < seed <= min_words:
         raise ValueError("seed must be between 1 and min_words")
@@ -372,17 +420,26 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, seed: int = S
     # the only partner of a run has all of it, and no window before or after it is repeated
     single = runs.where("partners = 1").select("doc", "body", "low", F.col("low").alias("a"), F.col("high").alias("b"), "p_doc", "p_body", "p_diag")
     asked = runs.where("partners > 1").select("doc", "body", "low", F.col("low").alias("a"), F.col("high").alias("b"), "p_doc", "p_body", "p_diag", "parts", "spans")
-    other = runs.select(F.col("doc").alias("p_doc"), F.col("body").alias("p_body"), F.col("low").alias("f_low"), F.col("high").alias("f_high"), F.col("parts").alias("f_parts"))
-    other = other.dropDuplicates(["p_doc", "p_body", "f_low"])
+    other = runs.where("lead = 1").select(F.col("doc").alias("p_doc"), F.col("body").alias("p_body"), F.col("low").alias("f_low"), F.col("high").alias("f_high"), F.col("parts").alias("f_parts"))
     met = asked.join(other, ["p_doc", "p_body"]).where("a + p_diag <= f_high and b + p_diag >= f_low")
     long = met.select("doc", "body", "low", "p_doc", "p_body", "p_diag", "parts", "spans", "f_parts").mapInArrow(_extend, _MATCH)
     order = Window.partitionBy("doc", "body", "low").orderBy("a", F.desc("b"), "p_doc", "p_body", "p_diag")
     whole = long.withColumn("reach", F.max("b").over(order.rowsBetween(Window.unboundedPreceding, -1))).where("reach is null or b > reach").drop("reach")
-    return single.unionByName(whole).select(
+    members = runs.where("lead = 1").select("doc", "body", "parts").mapInArrow(_members, _MEMBER)
+    matches = single.unionByName(whole).drop("low").withColumn("kind", F.lit("match"))
+    return matches.unionByName(members.withColumn("kind", F.lit("member"))).select(
         F.col("doc").alias("doc_id"),
         F.col("a").cast("int").alias("start_word"),
         (F.col("b") + min_words).cast("int").alias("end_word"),
         (F.col("b") + min_words - F.col("a")).cast("int").alias("n_words"),
         F.col("p_doc").alias("first_doc_id"),
         (F.col("a") + F.col("p_diag")).cast("int").alias("first_start"),
+        F.col("body").alias("text_id"),
+        F.col("p_body").alias("first_text_id"),
+        "kind",
     )
+
+
+def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, seed: int = SEED, hot: int = HOT, sample: int = HOT_SAMPLE) -> DataFrame:
+    """(doc_id, start_word, end_word, n_words, first_doc_id, first_start): the matches of :func:`linked_passages` alone."""
+    return linked_passages(docs, min_words, seed, hot, sample).where("kind = 'match'").drop("kind", "text_id", "first_text_id")

@@ -127,3 +127,65 @@ def test_the_hash_that_travels_is_whole():
     batch = next(R.anchored_windows(np.array([1]), np.array([2]), pa.array([" ".join(f"w{i}" for i in range(60))]), 50, 10))
     sizes = [len(x.as_py()) for x in batch.column("windows")]
     assert sum(sizes) == 11 * 8
+
+
+def everything(df):
+    rows = [tuple(r) for r in df.collect()]
+    assert len(rows) == len(set(rows))
+    return set(rows)
+
+
+def classes(df, k):
+    """Places (document, text, word) that member rows lead to one first place, for each."""
+    out = {}
+    for r in df.where("kind = 'member'").collect():
+        for i in range(r.n_words - k + 1):
+            out.setdefault((r.first_doc_id, r.first_text_id, r.first_start + i), set()).add((r.doc_id, r.text_id, r.start_word + i))
+    return out
+
+
+def brute_classes(docs, k):
+    """Places of each run of k words that several documents hold, under the first of them."""
+    runs = {}
+    for r in docs.selectExpr("doc_id", "xxhash64(text) as id", "text").where("doc_id is not null and text is not null").collect():
+        w = r.text.lower().split()
+        for i in range(len(w) - k + 1):
+            runs.setdefault(tuple(w[i : i + k]), set()).add((r.doc_id, r.id, i))
+    return {min(x): x for x in runs.values() if len({p[0] for p in x}) > 1}
+
+
+def edited_copies():
+    g = random.Random(12)
+    base = words(g, 120).split()
+    rows = []
+    for i in range(30):
+        text = list(base)
+        for _ in range(g.randint(0, 3)):
+            text[g.randrange(len(text))] = g.choice(["x", "y"])
+        rows.append((g.randint(0, 24), " ".join(text[g.randint(0, 40) * (i % 3 == 0) :] + text[:45] * (i % 4) + [f"end{i}"] * (i % 2))))
+    rows += [rows[0], rows[5], (40, rows[7][1]), (41, " ".join(["a", "b", "c"] * 30)), (42, " ".join(["b", "c", "a"] * 40)), (43, words(g, 70))]
+    return rows
+
+
+def test_members_lose_no_link(spark):
+    docs = documents(spark, edited_copies(), "clash")
+    want = brute_classes(docs, 20)
+    assert len(want) > 200 and max(map(len, want.values())) > 20
+    assert classes(R.linked_passages(docs, min_words=20, seed=5), 20) == want
+    assert classes(R.linked_passages(docs, min_words=20, seed=5, hot=2, sample=1), 20) == want
+
+
+def test_frequent_seeds_find_the_same(spark):
+    docs = documents(spark, edited_copies())
+    assert everything(R.linked_passages(docs, min_words=20, seed=5, hot=2, sample=1)) == everything(R.linked_passages(docs, min_words=20, seed=5))
+
+
+def test_pair_with_every_run_in_earlier_documents(spark):
+    w = [f"w{i}" for i in range(30)]
+    whole = " ".join(w)
+    rows = [(1, " ".join(w[:25])), (2, " ".join(w[5:])), (3, whole), (4, whole)]
+    for hot in (R.HOT, 1):
+        got = R.linked_passages(documents(spark, rows), min_words=20, seed=5, hot=hot, sample=1)
+        assert {(3, 0, 30, 4, 0), (4, 0, 30, 3, 0)} <= matches(got.where("kind = 'match'"))
+        held = got.where("kind = 'member'").select("doc_id", "start_word", "end_word", "first_doc_id", "first_start").collect()
+        assert {tuple(x) for x in held} == {(1, 0, 25, 1, 0), (2, 0, 20, 1, 5), (2, 1, 25, 2, 1), (3, 0, 25, 1, 0), (3, 6, 30, 2, 1), (4, 0, 25, 1, 0), (4, 6, 30, 2, 1)}
