@@ -213,6 +213,7 @@ class TreeGraph(Graph):
     Columns: adapter, resource, local, kind, uri, revision, start, end, edge (name of the edge from the
     parent), pre, last (range of the subtree), parent (pre of the parent, -1 for roots), sib, depth and
     a column ``@name`` for each attribute.  Descendants are an equi-join on the resource with a range.
+    Steps merge sorted sides: files of nodes are so much smaller than their rows that Spark would broadcast them.
     """
 
     spark: SparkSession
@@ -248,7 +249,7 @@ class TreeGraph(Graph):
     def _pair(self, q: Query, on) -> tuple[DataFrame, Node]:
         df, shape = self.table()
         keep = q.carried()
-        joined = q.df.join(df, (F.col(q.shape.cols["resource"]) == F.col(shape.cols["resource"])) & on(q.shape, shape))
+        joined = q.df.join(df.hint("merge"), (F.col(q.shape.cols["resource"]) == F.col(shape.cols["resource"])) & on(q.shape, shape))
         return joined, shape, keep
 
     def step(self, q, names, direction="forward"):
@@ -275,8 +276,8 @@ class TreeGraph(Graph):
         e = self.extra.where(F.col("name").isin(names)).select(F.col(here).alias(m["res"]), F.col(there).alias(m["to"]), F.col(a).alias(m["a"]), F.col(b).alias(m["b"]), F.col("pos").alias(m["pos"]))
         df, shape = self.table()
         keep = q.carried()
-        out = q.df.join(e, (F.col(q.shape.cols["resource"]) == F.col(m["res"])) & (F.col(q.shape.keys["pre"]) == F.col(m["a"])))
-        out = out.select(*keep, m["to"], m["b"], m["pos"]).join(df, (F.col(m["to"]) == F.col(shape.cols["resource"])) & (F.col(m["b"]) == F.col(shape.keys["pre"])))
+        out = q.df.join(e.hint("merge"), (F.col(q.shape.cols["resource"]) == F.col(m["res"])) & (F.col(q.shape.keys["pre"]) == F.col(m["a"])))
+        out = out.select(*keep, m["to"], m["b"], m["pos"]).join(df.hint("merge"), (F.col(m["to"]) == F.col(shape.cols["resource"])) & (F.col(m["b"]) == F.col(shape.keys["pre"])))
         return Query(out.withColumn(ORD, then(F.col(m["pos"]))).select(*keep, *shape.columns()), shape, q.plan, q.captures)
 
     def extend(self, q, names, direction, path):
