@@ -194,7 +194,7 @@ def below(q: Query, graph: TreeGraph, every: bool, holder) -> Query:
     table, shape = graph.table()
     if not every:
         table = table.where(F.col(shape.keys["parent"]) < 0)
-    out = base.join(table, F.col("_r") == F.col(shape.cols["resource"])).select(*carried, *shape.columns())
+    out = base.join(table.hint("merge"), F.col("_r") == F.col(shape.cols["resource"])).select(*carried, *shape.columns())
     return Query(out.withColumn(ORD, then(F.col(shape.keys["pre"]))), shape, q.plan, q.captures)
 
 
@@ -337,6 +337,6 @@ def mount(q: Query, language: str, attribute: str, view: str | None = None, on_e
 def container_of(q: Query, containers: Query) -> Query:
     """The reference from document roots back to the rows that hold them."""
     held = containers.detached(q.df)
-    df = q.df.join(held.df.drop(ORD), F.col(q.shape.cols["resource"]) == F.col(held.shape.cols["local"]))
+    df = q.df.join(held.df.drop(ORD).hint("merge"), F.col(q.shape.cols["resource"]) == F.col(held.shape.cols["local"]))
     keep = q.carried()
     return Query(df.select(*keep, *held.shape.columns()), held.shape, q.plan, q.captures)

@@ -2,6 +2,7 @@
 
 from graphloom.plans.selector import select
 from graphloom.sources import documents as D
+from graphloom.sources import relational as R
 
 
 def plan_of(df) -> str:
@@ -20,3 +21,13 @@ def test_steps_of_trees_broadcast_no_nodes(spark):
     inside = select(D.documents(spark, small(spark), "json").roots(), "json::root json::scalar")
     assert "Broadcast" not in plan_of(inside.df)
     assert inside.df.count() == 50
+
+
+def test_steps_into_mounts_broadcast_no_nodes(spark, tmp_path):
+    rows = [(i, None, i % 7, "view" if i % 2 else "purchase", 1.5, '{"k": %d}' % i) for i in range(40)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").write.parquet(str(tmp_path / "events.parquet"))
+    q = D.mount(R.events(spark, str(tmp_path)).kind_query("ev::event"), "json", "props")
+    q = select(q, 'ev::event[event_type = "purchase"] as $e > json::root > json::object > json::property > json::scalar')
+    assert "Broadcast" not in plan_of(q.df)
+    got = q.dataframe(k=lambda r: r.capture("e")["event_id"].col, v=lambda r: r["value"].col["n"]).collect()
+    assert sorted(map(tuple, got)) == [(i, float(i)) for i in range(0, 40, 2)]
