@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from dataclasses import dataclass, field, replace
+from operator import attrgetter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -86,6 +87,9 @@ _ITEM = pa.struct([("t", pa.string()), ("s", pa.string()), ("n", pa.float64()),
 _TAGGED = pa.struct([*_ITEM, ("m", pa.list_(_ITEM))])
 _PLACES = ("startLine", "startColumn", "endLine", "endColumn")
 _LONGS = ("pre", "last", "parent", "sib", "depth", "start", "end", *_PLACES)
+_HEAD = ("resource", "uri", "revision")
+#: Nodes that a task holds before it sends them on, besides those of one document, and documents that it reads at once.
+ROWS, DOCS = 10_000, 256
 
 
 def lines_of(text: str):
@@ -100,29 +104,51 @@ def lines_of(text: str):
     return at
 
 
-def parsed(docs: DataFrame, language: str, view: str | None = None, on_error: str = "skip") -> DataFrame:
+def parsed(docs: DataFrame, language: str, view: str | None = None, on_error: str = "skip", columns=None) -> DataFrame:
     """Node rows of ``docs`` (resource, uri, revision, text), with a row of kind NULL for each diagnostic.
 
-    A narrow stage: every document is parsed where it lies.  A null text is no
+    A narrow stage: every document is parsed where it lies, and rows leave the task by
+    the thousand, however many documents it was given at once.  A null text is no
     document; with on_error "throw" a fault ends the query, else it is a diagnostic.
+    ``columns`` names those to make, all by default: without ``kind`` there are no
+    nodes, without ``code`` no diagnostics.
     """
     parse, attrs = P.PARSERS[language]
-    fields = ["resource", "uri", "revision", "local", "kind", "edge", *_LONGS, *(f"@{a}" for a in attrs), "code", "message"]
-    types = {a: (V.TAGGED if t == "tagged" else V.SQL_TYPE[t]) for a, t in attrs.items()}
-    schema = "resource string, uri string, revision string, local string, kind string, edge string, " + ", ".join(f"`{c}` long" for c in _LONGS) + ", " + ", ".join(f"`@{a}` {t}" for a, t in types.items()) + ", code string, message string"
+    types = {**{f: "string" for f in ("resource", "uri", "revision", "local", "kind", "edge")}, **{c: "long" for c in _LONGS}, **{f"@{a}": (V.TAGGED if t == "tagged" else V.SQL_TYPE[t]) for a, t in attrs.items()}, "code": "string", "message": "string"}
+    kinds = {f: pa.string() for f in types} | {c: pa.int64() for c in _LONGS} | {f"@{a}": _TAGGED if t == "tagged" else _ARROW[t] for a, t in attrs.items()}
+    fields = [f for f in types if columns is None or f in columns]
+    nodes, notes, placed = "kind" in fields, "code" in fields, any(c in fields for c in _PLACES)
 
     def run(batches):
-        for batch in batches:
-            cols: dict[str, list] = {f: [] for f in fields}
-
-            def put(head, row, code=None, message=None, at=None):
-                values = {"resource": head[0], "uri": head[1], "revision": head[2], "code": code, "message": message}
-                if row is not None:
-                    values |= {"local": row.local, "kind": row.kind, "edge": row.edge, **{c: getattr(row, c) for c in _LONGS if c not in _PLACES}, **dict(zip(_PLACES, (*at(row.start), *at(row.end)))), **{f"@{a}": (P.tagged(x) if attrs[a] == "tagged" else x) for a, x in row.attrs.items()}}
-                for f in fields:
-                    cols[f].append(values.get(f))
+        # nodes, and the documents and places they are of; then diagnostics and their documents
+        rows, heads, places, faults = [], [], [], []
+
+        def made():
+            cols = {}
+            for f in fields:
+                if f in _HEAD:
+                    k = _HEAD.index(f)
+                    own = [h[k] for h in heads]
+                elif f in _PLACES:
+                    k = _PLACES.index(f)
+                    own = [x[k] for x in places]
+                elif f in ("code", "message"):
+                    own = [None] * len(rows)
+                elif f[0] != "@":
+                    own = list(map(attrgetter(f), rows))
+                elif attrs[f[1:]] == "tagged":
+                    own = [P.tagged(r.attrs[f[1:]]) if f[1:] in r.attrs else None for r in rows]
+                else:
+                    own = [r.attrs.get(f[1:]) for r in rows]
+                at = _HEAD.index(f) if f in _HEAD else {"code": 3, "message": 4}.get(f)
+                cols[f] = own + [None if at is None else x[at] for x in faults]
+            out = pa.RecordBatch.from_arrays([pa.array(cols[f], kinds[f]) for f in fields], fields)
+            for x in (rows, heads, places, faults):
+                x.clear()
+            return out
 
-            for resource, uri, revision, text in zip(*(batch.column(i).to_pylist() for i in range(4))):
+        for batch in batches:
+            for resource, uri, revision, text in (x for k in range(0, batch.num_rows, DOCS) for x in zip(*(c.to_pylist() for c in batch.slice(k, DOCS).columns))):
                 if text is None:
                     continue
                 head = (resource, uri, revision)
@@ -131,17 +157,25 @@ def parsed(docs: DataFrame, language: str, view: str | None = None, on_error: st
                 except P.SyntaxFault as e:
                     if on_error == "throw":
                         raise ValueError(f"{language}.invalid-syntax in {uri}: {e}") from e
-                    put(head, None, f"{language}.invalid-syntax", str(e))
+                    if notes:
+                        faults.append((*head, f"{language}.invalid-syntax", str(e)))
                     continue
-                at = lines_of(text.removeprefix("\ufeff"))
-                for row in tree.rows:
-                    put(head, row, at=at)
-                for code, message, _, _ in tree.notes:
-                    put(head, None, code, message)
-            kinds = {**{f: pa.string() for f in ("resource", "uri", "revision", "local", "kind", "edge", "code", "message")}, **{c: pa.int64() for c in _LONGS}, **{f"@{a}": _TAGGED if t == "tagged" else _ARROW[t] for a, t in attrs.items()}}
-            yield pa.RecordBatch.from_arrays([pa.array(cols[f], kinds[f]) for f in fields], fields)
-
-    return docs.select("resource", "uri", "revision", "text").mapInArrow(run, schema)
+                at = lines_of(text.removeprefix("\ufeff")) if nodes and placed else None
+                for k in range(0, len(tree.rows) if nodes else 0, ROWS):
+                    part = tree.rows[k : k + ROWS]
+                    rows += part
+                    heads += [head] * len(part)
+                    if at:
+                        places += [(*at(r.start), *at(r.end)) for r in part]
+                    if len(rows) >= ROWS:
+                        yield made()
+                if notes:
+                    faults += [(*head, code, message) for code, message, _, _ in tree.notes]
+                    if len(faults) >= ROWS:
+                        yield made()
+        yield made()
+
+    return docs.select("resource", "uri", "revision", "text").mapInArrow(run, ", ".join(f"`{f}` {types[f]}" for f in fields))
 
 
 @dataclass

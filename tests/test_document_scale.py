@@ -1,5 +1,7 @@
 """Steps through parsed documents at size: no broadcast of nodes, tasks of bounded memory, no columns that nobody reads."""
 
+import pyarrow as pa
+
 from graphloom.plans.selector import select
 from graphloom.sources import documents as D
 from graphloom.sources import relational as R
@@ -31,3 +33,24 @@ def test_steps_into_mounts_broadcast_no_nodes(spark, tmp_path):
     assert "Broadcast" not in plan_of(q.df)
     got = q.dataframe(k=lambda r: r.capture("e")["event_id"].col, v=lambda r: r["value"].col["n"]).collect()
     assert sorted(map(tuple, got)) == [(i, float(i)) for i in range(0, 40, 2)]
+
+
+class Caught:
+    """Stands for a DataFrame of documents: gives the task function itself."""
+
+    def select(self, *_):
+        return self
+
+    def mapInArrow(self, run, schema):  # noqa: N802
+        return run
+
+
+def test_tasks_send_nodes_on_before_they_hold_many():
+    """A batch of documents may have thousands of times as many nodes as texts."""
+    n, words = 300, 200
+    rows = [(f"d{i}", f"d{i}", None, "word " * words) for i in range(n)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows)], ["resource", "uri", "revision", "text"])
+    out = list(D.parsed(Caught(), "ts")(iter([batch])))
+    assert sum(b.num_rows for b in out) == n * (words + 1)
+    assert max(b.num_rows for b in out) < 2 * 10_000
+    assert [k for b in out for k in b.column(out[0].schema.get_field_index("pre")).to_pylist()] == [k for _ in range(n) for k in range(words + 1)]
