@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from operator import attrgetter
 
@@ -88,6 +89,7 @@ _TAGGED = pa.struct([*_ITEM, ("m", pa.list_(_ITEM))])
 _PLACES = ("startLine", "startColumn", "endLine", "endColumn")
 _LONGS = ("pre", "last", "parent", "sib", "depth", "start", "end", *_PLACES)
 _HEAD = ("resource", "uri", "revision")
+_COLUMNS = (*_HEAD, "local", "kind", "edge", *_LONGS, "code", "message")
 #: Nodes that a task holds before it sends them on, besides those of one document, and documents that it reads at once.
 ROWS, DOCS = 10_000, 256
 
@@ -190,6 +192,7 @@ class DocumentGraph(TreeGraph):
     diagnostics: DataFrame | None = None
     text: DataFrame | None = None
     keep: bool = False
+    make: Callable | None = None  # nodes with the named columns only, parsed anew
     _uses: list = field(default_factory=list)
 
     def table(self):
@@ -199,6 +202,31 @@ class DocumentGraph(TreeGraph):
         self._uses.append(1)
         return super().table()
 
+    def all(self, where=None):
+        q = super().all(where)
+        return q if where is not None or len(self._uses) > 1 or self.make is None else Parsing(q, self)
+
+
+class Parsing(Query):
+    """Every node, parsed as it is read; flat columns right after it make no others in the task."""
+
+    def __init__(self, q: Query, graph: DocumentGraph):
+        super().__init__(q.df, q.shape, q.plan, q.captures)
+        self.graph = graph
+
+    def dataframe(self, **fields):
+        out = super().dataframe(**fields)
+        read, it = set(), out._jdf.queryExecution().analyzed().references().iterator()
+        while it.hasNext():
+            read.add(it.next().name())
+        if ORD in read:
+            return out
+        s = self.shape
+        names = {**s.cols, **s.keys, **{f"@{a}": x.name for a, x in s.attrs.items()}}
+        wanted = {c: n for c, n in names.items() if n in read}
+        df = self.graph.make(wanted.keys()).select(*[F.col(f"`{c}`").alias(n) for c, n in wanted.items()])
+        return Query(df, s, self.plan).dataframe(**fields)
+
 
 def documents(spark: SparkSession, docs: DataFrame, language: str, view: str | None = None, on_error: str = "skip", keep: bool = False) -> DocumentGraph:
     """The graph of ``docs`` (resource, uri, revision, text); resources must be unique."""
@@ -207,10 +235,15 @@ def documents(spark: SparkSession, docs: DataFrame, language: str, view: str | N
         from ..diagnostics import LoomError
 
         raise LoomError("dsl.unknown-tree-view", f"unknown tree view {view}")
-    rows = parsed(docs, language, view, on_error)
-    nodes = rows.where("kind is not null").withColumn("adapter", F.lit(language))
+
+    def make(columns=None):
+        rows = parsed(docs, language, view, on_error, None if columns is None else {"kind", *columns})
+        return rows.where("kind is not null").withColumn("adapter", F.lit(language))
+
+    faults = parsed(docs, language, view, on_error, ("uri", "code", "message"))
     attrs = {a: Scalar("", None if t == "tagged" else t, False, "missing") for a, t in P.PARSERS[language][1].items()}
-    return DocumentGraph(spark, schema, nodes, attrs, view, diagnostics=rows.where("code is not null").select("uri", "code", "message"), text=docs, keep=keep)
+    every = make([c for c in _COLUMNS if c not in ("code", "message")] + [f"@{a}" for a in attrs])
+    return DocumentGraph(spark, schema, every, attrs, view, diagnostics=faults.select("uri", "code", "message"), text=docs, keep=keep, make=make)
 
 
 def texts(spark: SparkSession, items: dict[str, str]) -> DataFrame:

@@ -1,6 +1,9 @@
 """Steps through parsed documents at size: no broadcast of nodes, tasks of bounded memory, no columns that nobody reads."""
 
+import re
+
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from graphloom.plans.selector import select
 from graphloom.sources import documents as D
@@ -54,3 +57,17 @@ def test_tasks_send_nodes_on_before_they_hold_many():
     assert sum(b.num_rows for b in out) == n * (words + 1)
     assert max(b.num_rows for b in out) < 2 * 10_000
     assert [k for b in out for k in b.column(out[0].schema.get_field_index("pre")).to_pylist()] == [k for _ in range(n) for k in range(words + 1)]
+
+
+
+def test_columns_that_nobody_reads_are_not_made(spark):
+    docs = D.texts(spark, {"a": '{"k": [1, null]}', "b": "{", "c": "7"})
+    graph = D.documents(spark, docs, "json")
+    flat = graph.all().dataframe(kind=lambda r: r.kind, start=lambda r: F.col(r.shape.cols["start"]), value=lambda r: r["value"].col["n"])
+    made = re.search(r"MapInArrow.*", flat._jdf.queryExecution().optimizedPlan().toString())[0]
+    assert "kind" in made and "start" in made and "local" not in made and "depth" not in made
+    rows = graph.table()[0]
+    every = D.documents(spark, docs, "json").nodes
+    assert sorted(map(str, flat.collect())) == sorted(map(str, every.select("kind", "start", F.col("`@value`")["n"].alias("value")).collect()))
+    assert rows.count() == every.count() == 10
+    assert [(d["uri"], d["code"]) for d in graph.diagnostics.collect()] == [("b", "json.invalid-syntax")]
