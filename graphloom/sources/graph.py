@@ -21,6 +21,8 @@ from ..scratch import stored
 
 #: Unrolled steps of a walk without a depth limit; a child graph deeper than this counts as cyclic.
 MAX_UNROLL = 200
+#: Steps of a walk over an edge list that are planned as one; longer walks write each level.
+IN_ONE_PLAN = 4
 
 
 class Graph:
@@ -149,36 +151,79 @@ class EdgeListGraph(Graph):
         at = {k: fresh(k) for k in ("r", "l", "p")}
         first = self.roots_df.select(F.col("resource").alias(at["r"]), F.col("local").alias(at["l"]), F.col("position").alias(at["p"]))
         df, shape = self._table(self.nodes)
-        df = first.join(df, (F.col(at["r"]) == F.col(shape.cols["resource"])) & (F.col(at["l"]) == F.col(shape.cols["local"])))
+        df = first.join(df.hint("merge"), (F.col(at["l"]) == F.col(shape.cols["local"])) & (F.col(at["r"]) == F.col(shape.cols["resource"])))
         df = df.select(F.struct(F.col(at["p"]).alias("a")).alias(ORD), *shape.columns())
         return self.source(Query(df, shape, PlanNode("source", self.schema.ordering)), "adapter")
 
     def height(self, names, direction) -> int | None:
         return self.heights.get((frozenset(names), direction))
 
-    def _hop(self, q: Query, names, direction: str):
+    def _links(self, names, direction: str) -> tuple[DataFrame, dict]:
+        """(r, l) to (tr, tl) at pos under fresh names, along the edges of a direction."""
         e = self.edges.where(F.col("name").isin(list(names)))
         a, b = ("from", "to") if direction == "forward" else ("to", "from")
         if direction == "both":
             flipped = e.select("name", "role", F.col("to_resource").alias("from_resource"), F.col("to_local").alias("from_local"), F.col("from_resource").alias("to_resource"), F.col("from_local").alias("to_local"), "pos")
             e, a, b = e.unionByName(flipped), "from", "to"
         m = {k: fresh(k) for k in ("r", "l", "tr", "tl", "pos")}
-        e = e.select(F.col(f"{a}_resource").alias(m["r"]), F.col(f"{a}_local").alias(m["l"]), F.col(f"{b}_resource").alias(m["tr"]), F.col(f"{b}_local").alias(m["tl"]), F.col("pos").alias(m["pos"]))
+        return e.select(F.col(f"{a}_resource").alias(m["r"]), F.col(f"{a}_local").alias(m["l"]), F.col(f"{b}_resource").alias(m["tr"]), F.col(f"{b}_local").alias(m["tl"]), F.col("pos").alias(m["pos"])), m
+
+    def _hop(self, q: Query, names, direction: str):
+        e, m = self._links(names, direction)
         nodes, shape = self._table(self.nodes)
         here = q.shape.cols
         keep = q.carried()
-        df = q.df.join(e, (F.col(here["resource"]) == F.col(m["r"])) & (F.col(here["local"]) == F.col(m["l"])))
-        df = df.select(*keep, m["tr"], m["tl"], m["pos"]).join(nodes, (F.col(m["tr"]) == F.col(shape.cols["resource"])) & (F.col(m["tl"]) == F.col(shape.cols["local"]))).drop(m["tr"], m["tl"])
+        df = q.df.join(e.hint("merge"), (F.col(here["local"]) == F.col(m["l"])) & (F.col(here["resource"]) == F.col(m["r"])))
+        df = df.select(*keep, m["tr"], m["tl"], m["pos"]).join(nodes.hint("merge"), (F.col(m["tl"]) == F.col(shape.cols["local"])) & (F.col(m["tr"]) == F.col(shape.cols["resource"]))).drop(m["tr"], m["tl"])
         return df, shape, m["pos"]
 
     def step(self, q, names, direction="forward"):
         df, shape, pos = self._hop(q, names, direction)
         return Query(df.withColumn(ORD, then(F.col(pos))).drop(pos), shape, q.plan, q.captures)
 
-    def extend(self, q, names, direction, path):
-        df, shape, pos = self._hop(q, names, direction)
-        df = df.withColumn(path, F.concat(path, F.array(F.lpad(F.col(pos).cast("string"), 12, "0")))).drop(pos)
-        return Query(df, shape, q.plan, q.captures)
+    def traverse(self, q, edges, roles, direction, max_depth, include_self):
+        return self.walk(q, self.names_of(edges, roles), direction, max_depth, include_self)
+
+    def walk(self, q: Query, names, direction: str, max_depth: int, include_self: bool) -> Query:
+        """All paths of up to ``max_depth`` edges, in pre-order.
+
+        Levels hold identities and paths only.  Edges that lead to no node are taken
+        out once, so that nodes are looked up after the walk, and only if something
+        reads more of them than who they are.  Up to IN_ONE_PLAN levels are one plan,
+        in which Spark shares the shuffles; beyond that each level is written, and a
+        walk that has ended goes no further.
+        """
+        bound = self.height(names, direction)
+        depth = max_depth if bound is None else min(max_depth, bound)
+        if depth > MAX_UNROLL:
+            raise LoomError("query.unbounded-traversal", f"a walk of more than {MAX_UNROLL} steps")
+        path, r, l, there, key = (fresh(x) for x in ("path", "r", "l", "there", "key"))  # noqa: E741
+        nodes, shape = self._table(self.nodes)
+        renamed = {shape.cols["resource"]: there, shape.cols["local"]: key}
+        nodes = nodes.withColumnsRenamed(renamed)
+        links, m = self._links(names, direction)
+        links = links.join(nodes.select(there, key).hint("merge"), (F.col(m["tl"]) == F.col(key)) & (F.col(m["tr"]) == F.col(there)), "left_semi")
+        if depth > 2:
+            links = stored(links, "links")
+        keep = q.carried()
+        now = q.df.select(*keep, F.col(q.shape.cols["resource"]).alias(r), F.col(q.shape.cols["local"]).alias(l), F.array().cast("array<string>").alias(path))
+        levels = [now if include_self else now.where(F.lit(False))]
+        for _ in range(depth):
+            now = now.join(links.hint("merge"), (F.col(l) == F.col(m["l"])) & (F.col(r) == F.col(m["r"])))
+            now = now.select(*keep, F.col(m["tr"]).alias(r), F.col(m["tl"]).alias(l), F.concat(path, F.array(F.lpad(F.col(m["pos"]).cast("string"), 12, "0"))).alias(path))
+            if depth > IN_ONE_PLAN:
+                now = stored(now, "level")
+                if now.isEmpty():
+                    break
+            levels.append(now)
+        out = levels[0]
+        for x in levels[1:]:
+            out = out.unionByName(x)
+        # one row for each identity, which lets Spark leave the join out where nothing needs it
+        out = out.join(nodes.dropDuplicates([there, key]).hint("merge"), (F.col(l) == F.col(key)) & (F.col(r) == F.col(there)), "left")
+        own = {shape.cols["resource"]: r, shape.cols["local"]: l}
+        out = out.select(*keep, *[F.col(own.get(c, c)).alias(c) for c in shape.columns()], path)
+        return Query(out.withColumn(ORD, then(F.col(path))).drop(path), shape, q.plan, q.captures)
 
     def descend(self, q, include_self, max_depth=None):
         names = self.child_names()
@@ -186,7 +231,7 @@ class EdgeListGraph(Graph):
         if bound is None and max_depth is None:
             raise LoomError("query.unbounded-traversal", "the child graph has a cycle")
         depth = bound if max_depth is None else max_depth
-        return unrolled(self, q, names, "forward", depth, include_self)
+        return self.walk(q, names, "forward", depth, include_self)
 
     def siblings(self, q, following):
         names = list(self.child_names())
